@@ -30,17 +30,20 @@ PIECE = 64
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _seed(words: Column, at: Column, mask: str, salt: int) -> Column:
-    return F.xxhash64(F.lit(salt), *[F.get(words, at + i) for i, c in enumerate(mask) if c == "1"])
+def _seeds(df: DataFrame, masks: list[tuple[int, str]], *keep: str) -> DataFrame:
+    """(keep..., words, at, seed) for each position ``at`` and each (salt, mask) that fits there.
 
-
-def _seeds(df: DataFrame, mask: str, salt: int) -> DataFrame:
-    """``df`` with a row for each position ``at`` that the mask fits on, and its ``seed``."""
-    every = df.where(F.size("words") >= len(mask)).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - len(mask))))
-    return every.withColumn("seed", _seed(F.col("words"), F.col("at"), mask, salt))
+    Two explodes of one row after another and no union: the generated code holds a document's words
+    once, by reference, while its positions stream past.
+    """
+    least = min(len(m) for _, m in masks)
+    hashed = df.where(F.size("words") >= least).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
+    at = hashed.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - least)))
+    own = [F.when(F.col("at") + len(m) <= F.size("words"), F.xxhash64(F.lit(salt), *[F.get("hashes", F.col("at") + i) for i, c in enumerate(m) if c == "1"])) for salt, m in masks]
+    return at.select(*keep, "words", "at", F.explode(F.array(*own)).alias("seed")).where(F.col("seed").isNotNull())
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_words: int = 13, similarity: float = 0.8, broadcast_seeds: int = MAX_SEEDS) -> DataFrame:
@@ -50,12 +53,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     # Items shorter than a mask are hashed whole; their lengths are fewer than the longest mask's.
     short = sorted(r[0] for r in items.where(F.size("words") < longest).select(F.size("words")).distinct().collect())
     every = [(mask, F.size("words") >= longest) for mask in masks] + [("1" * n, F.size("words") == n) for n in short]
-    test, train = None, None
     texts = docs.select("doc_id", words_of(F.col("text")).alias("words"))
+    test = None
     for salt, (mask, fit) in enumerate(every):
-        a = _seeds(items.where(fit), mask, salt).select("seed", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"))
-        b = _seeds(texts, mask, salt)
-        test, train = (a, b) if test is None else (test.unionByName(a), train.unionByName(b))
+        own = _seeds(items.where(fit), [(salt, mask)], "item_id").select("seed", "item_id", F.col("words").alias("item_words"), F.col("at").alias("item_at"))
+        test = own if test is None else test.unionByName(own)
+    train = _seeds(texts, [(salt, mask) for salt, (mask, _) in enumerate(every)], "doc_id")
     small = (items.agg(F.sum(F.size("words"))).first()[0] or 0) * len(every) <= broadcast_seeds
     if small:
         hits = train.join(F.broadcast(test), "seed")
