@@ -30,9 +30,9 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def bytes_bound(df: DataFrame, limit: int, size: Column) -> bool:
-    """Whether the summed ``size`` of all rows is at most ``limit``: the check before any broadcast."""
-    return (df.agg(F.sum(size)).first()[0] or 0) <= limit
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df``, marked for broadcast only if it is counted to have at most ``rows`` narrow rows; else joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

@@ -94,11 +94,11 @@ def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, trees: int = 16, boosts: int = 12, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleEnsemble:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, trees: int = 16, boosts: int = 12, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> RuleEnsemble:
     """Learn ``label`` from ``labels`` (doc_id, label) of documents that are not held out.
 
-    ``stats`` has doc_id and the statistics.  The labelled rows are joined to it
-    by id; the fit runs on at most about ``max_rows`` of them.
+    The drawn labels, at most about ``max_rows``, are broadcast to the documents, so
+    only drawn documents' statistics are computed for the fit.
     """
     from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -108,7 +108,8 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", max_rows: i
     n = known.count()
     if n > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(1_000_000 * max_rows / n))
-    train = stored(stats.select("doc_id", *STATISTICS).join(known, "doc_id"), "train")
+    drawn = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    train = stored(with_statistics(drawn).drop("text"), "train")
     by = {r["_y"]: r["n"] for r in train.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     ones, zeros = by.get(1.0, 0), by.get(0.0, 0)
     if not ones or not zeros:
@@ -153,17 +154,14 @@ def tree_paths(printed: str) -> set[tuple[tuple[str, bool, float], ...]]:
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``docs``."""
-    # Statistics are read twice, by the fit and by the scores: one pass over the texts computes them.
-    stats = stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "stats")
-    model = fit(stats, labels, **options)
-    scored = stats.select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
+    model = fit(docs, labels, **options)
+    scored = with_statistics(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with the same columns."""
-    rows = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "text", "doc_id")
-    stats = stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "stats")
-    model = fit(stats, labels, **options)
+    model = fit(docs, labels, **options)
+    rows = docs.select(*[F.col(c).alias(f"_in_{c}") for c in docs.columns], "text")
     kept = with_statistics(rows).where(model.score() >= threshold)
     return kept.select(*[F.col(f"_in_{c}").alias(c) for c in docs.columns])
