@@ -67,12 +67,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
         seeds = train.select("doc_id", "seed", "at").join(test, "seed")
         seeds = seeds.select("doc_id", "item_id", "item_words", (F.col("at") - F.col("item_at")).alias("at"), F.lit(0).alias("item_at")).distinct()
         hits = seeds.join(texts, "doc_id")
-    same = hits.select("doc_id", "item_id", F.size("item_words").alias("m"), (F.col("at") - F.col("item_at")).alias("diag"), "words", "item_words")
+    # Only the words that face the item leave the join; they are used twice below, so this stays a step of its own.
+    diag = F.col("at") - F.col("item_at")
+    faced = F.slice("words", F.greatest(diag, F.lit(0)) + 1, F.size("item_words") - F.greatest(-diag, F.lit(0)))
+    same = hits.select("doc_id", "item_id", F.size("item_words").alias("m"), diag.alias("diag"), faced.alias("faced"), "item_words")
     same = same.select("doc_id", "item_id", "m", "diag", F.hash("item_words").alias("piece"), _equal_at().alias("equal"))
-    # Most hits of a passage lie on one diagonal; rows that cannot hold an overlap stop here.
+    # Most hits of a passage lie on one diagonal.
     whole = F.col("m") < longest
     need, share = F.when(whole, F.col("m")).otherwise(F.least(F.lit(min_words), F.col("m"))), F.when(whole, F.lit(1.0)).otherwise(F.lit(similarity))
-    same = same.where(F.size("equal") >= F.ceil(need * share)).groupBy("doc_id", "item_id", "piece", "diag").agg(F.max("equal").alias("equal"), F.max("m").alias("m"))
+    same = same.groupBy("doc_id", "item_id", "piece", "diag").agg(F.max("equal").alias("equal"), F.max("m").alias("m"))
+    same = same.where(F.size("equal") >= F.ceil(need * share))
     best = same.withColumn("b", _longest_run(need, share)).where(F.col("b").isNotNull())
     return (
         best.groupBy("doc_id", "item_id")
@@ -90,8 +94,9 @@ def _pieces(items: DataFrame) -> DataFrame:
 
 def _equal_at() -> Column:
     """Item positions whose word equals the document's on the diagonal."""
-    at = F.sequence(F.lit(0), F.size("item_words") - 1)
-    return F.filter(at, lambda i: (F.col("diag") + i >= 0) & F.coalesce(F.get("words", F.greatest(F.col("diag") + i, F.lit(0))) == F.get("item_words", i), F.lit(False)))
+    lead = F.greatest(-F.col("diag"), F.lit(0))
+    at = F.sequence(lead, lead + F.size("faced") - 1)
+    return F.filter(at, lambda i: F.get("faced", i - lead) == F.get("item_words", i))
 
 
 def _longest_run(need: Column, share: Column) -> Column:
