@@ -30,6 +30,13 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices of at most ``rows`` rows: what a task holds as Python objects stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df``, marked for broadcast only if it is counted to have at most ``rows`` narrow rows; else joined by shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

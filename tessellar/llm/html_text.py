@@ -29,6 +29,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
+from .common import sliced
+
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
@@ -195,7 +197,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             texts = ["\n".join(main_blocks(blocks_of(h))) if h else "" for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, sliced, stored
 
 MAX_HASHES = 80
 
@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, size: int, seed: int = 3)
                     out = mixed(out + low[r::rows])
             return out.astype(np.int64)
 
-        for batch in batches:
+        for batch in sliced(batches):
             keys, n, sigs = [], [], []
             for t in batch.column("text").to_pylist():
                 own = words(t)
@@ -104,7 +104,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -
                 s = sets[key] = shingle_set(column[i].as_py(), size)
             return s
 
-        for x in batches:
+        for x in sliced(batches):
             ka, kb, ta, tb = x.column("a").to_pylist(), x.column("b").to_pylist(), x.column("ta"), x.column("tb")
             keep = [jaccard(of(p, ta, i), of(q, tb, i)) >= threshold for i, (p, q) in enumerate(zip(ka, kb))]
             yield pa.RecordBatch.from_arrays([x.column("a").filter(pa.array(keep, pa.bool_())), x.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import sliced, small, stored
 
 #: Credits are counted in 1/2**16 tokens.
 UNIT = 1 << 16
@@ -68,7 +68,7 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int) -> D
 
         enc, task, so_far = encoder(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             ids = [enc.encode(t) + end for t in b.column("text").to_pylist()]
             n, at = [len(x) // 4 for x in ids], []
             for q, k in zip(b.column("queue").to_pylist(), n):
@@ -129,7 +129,7 @@ def _pieces(placed: DataFrame, queues: list[tuple[int, int, str]], length: int,
                     yield (doc, a - place, k, zlib.crc32(piece), n, x // length, x % length, pad, piece)
                     a, x = a + k, x + k
 
-        for b in batches:
+        for b in sliced(batches):
             out = []
             cols = [b.column(c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids")]
             for doc, q, place, n, ids in zip(*cols):

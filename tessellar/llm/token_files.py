@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, small
+from .common import shared_path, sliced, small
 
 SCHEMA = "part int, doc_id long, n_tokens long, start_in_part long, ids array<int>"
 META = "part int, doc_id long, n_tokens long, start_in_part long"
@@ -42,7 +42,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, parts: int | None = Non
 
         enc, part, so_far = encoder(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches):
             ids = [enc.encode(t) + end for t in b.column("text").to_pylist()]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
             edges = np.concatenate([[0], np.cumsum(n)])
@@ -103,9 +103,9 @@ def digests(tokens: DataFrame, ids: str = "ids") -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in sliced(batches):
             lists = b.column(ids)
-            values, edges = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
+            values, edges = lists.values.to_numpy(zero_copy_only=False).view("<u4"), lists.offsets.to_numpy()
             crc = np.fromiter((zlib.crc32(values[i:j]) for i, j in zip(edges[:-1], edges[1:])), np.int64, len(lists))
             yield pa.RecordBatch.from_arrays([*[b.column(f.name) for f in keep], pa.array(crc)], [*[f.name for f in keep], "ids_crc32"])
 

@@ -86,6 +86,9 @@ class FastEncoder:
         self.ranked = _ranked(spec)
         self.words = _is_words(spec)
         self.chunks = _Chunks(_Pieces(self.tok.model))
+        if self.ranked is not None:
+            # Neither is used any more; a worker's memory is short.
+            self.tok = self.chunks = None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
