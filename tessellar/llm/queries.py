@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, packing, quality, token_files, url_filter
+from . import decontaminate, html_text, line_dedup, near_duplicates, neighbours, packing, quality, token_files, url_filter
 
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -37,6 +37,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near duplicates (five-word shingles, similarity 0.8) and its links."""
+    return near_duplicates.classes(table(spark, sf_dir, "documents"), threshold=0.8, size=5)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -59,13 +64,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows of every fiftieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and benchmark items that overlap in 13 words or more, four fifths of them equal."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op4_quality, op5_html_text, op6_token_files, op7_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_ngram_jaccard_join, op4_quality, op5_html_text, op6_token_files, op7_line_dedup, op8_nearest_neighbours, op10_decontaminate)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,6 +103,20 @@ from m group by r, doc_id
 """
 
 
+_OP3_SQL = r"""
+with recursive d as (select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda w: w <> '') as ws from documents),
+s as (select distinct r, sh from (select r, unnest(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')] else list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) end) as sh from d)),
+n as (select r, count(*) as n from s group by r),
+p as (select a.r as a, b.r as b, count(*) as c from s a join s b on a.sh = b.sh and a.r < b.r group by a.r, b.r),
+e as (select a, b from p join n na on na.r = a join n nb on nb.r = b where c >= 0.8 * (na.n + nb.n - c)),
+e2 as (select a, b from e union all select b, a from e),
+walk(r, s) as (select r, r from d union select w.r, e2.b from walk w join e2 on e2.a = w.s),
+c as (select w.r, min(d.doc_id) as class_id from walk w join d on d.r = w.s group by w.r),
+l as (select a as r, count(*) as n_links from e2 group by a)
+select d.doc_id, c.class_id, coalesce(l.n_links, 0) as n_links from d join c using (r) left join l using (r)
+"""
+
+
 def _sql_seed(mask: str, at: str) -> str:
     return "concat_ws('|', " + ", ".join(f"words[{at} + {i + 1}]" for i, c in enumerate(mask) if c == "1") + ")"
 
@@ -121,4 +146,4 @@ qualify row_number() over (partition by doc_id, item_id order by n_words desc, n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2_SQL, "op7_line_dedup": _OP7_SQL, "op10_decontaminate": _OP10_SQL}
+    return {"op2_url_filter": _OP2_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op7_line_dedup": _OP7_SQL, "op10_decontaminate": _OP10_SQL}
