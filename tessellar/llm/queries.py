@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, near_duplicates, neighbours, packing, quality, token_files, url_filter
+from . import decontaminate, html_text, line_dedup, near_duplicates, neighbours, packing, passages, quality, token_files, url_filter
 
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -70,13 +70,18 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, rows.where(F.col("vec_id") % 50 == 0), k=5)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that are near duplicates of passages of other documents."""
+    return passages.repeated(table(spark, sf_dir, "documents"), min_words=50, size=5, threshold=0.8)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and benchmark items that overlap in 13 words or more, four fifths of them equal."""
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_ngram_jaccard_join, op4_quality, op5_html_text, op6_token_files, op7_line_dedup, op8_nearest_neighbours, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_ngram_jaccard_join, op4_quality, op5_html_text, op6_token_files, op7_line_dedup, op8_nearest_neighbours, op9_substring_dedup, op10_decontaminate)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
