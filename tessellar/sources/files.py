@@ -11,8 +11,10 @@ from tessellar.functions import text as X
 
 def text_tree(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True) -> DataFrame:
     """(path, body) of every file of a folder that fits a pattern: a suffix, a prefix or a name."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).text(folder)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("body"))
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
+    # Paths come as URLs; a plus sign is itself there.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return files.select(path.alias("path"), F.col("value").alias("body"))
 
 
 def plan_ingest(files: DataFrame, taken: DataFrame | None = None, prefix: str = "", max_len: int = 60) -> DataFrame:
