@@ -108,36 +108,48 @@ def _pieces(placed: DataFrame, queues: list[tuple[int, int, str]], length: int,
             """Tokens that each queue has sent after each of the rounds ``r``: (rounds, queues)."""
             return np.minimum(T, packet * (r[:, None] * Q // (packet * UNIT)))
 
-        def rows(doc, q, place, n, ids):
-            # The document's packets, and the rounds that send them; packets of one round lie together.
+        def runs(q, place, n):
+            """Of documents in queue ``q`` from ``place`` on: (document, begin, stop, position) of what each round sends of them."""
             first, last = place // packet, (place + n - 1) // packet
-            rounds = -(-(np.arange(first + 1, last + 2, dtype=np.int64) * packet * UNIT) // Q[q])
-            new = np.flatnonzero(np.diff(rounds, prepend=rounds[0] - 1))
-            begin = np.maximum((first + new) * packet, place)
-            stop = np.append(begin[1:], place + n)
-            r = rounds[new]
-            was, now = sent(r - 1), sent(r)
-            at = was.sum(1) + (now[:, :q] - was[:, :q]).sum(1) + begin - was[:, q]
-            # Windows cut the runs once more.
-            for a, b, x in zip(begin.tolist(), stop.tolist(), at.tolist()):
-                while a < b:
-                    k = min(b - a, length - x % length)
-                    piece = ids[4 * (a - place) : 4 * (a - place + k)]
-                    # Only the last sequence can be short; one that ends at a power of two needs no padding.
-                    filled = min(length, total - x // length * length)
-                    pad = 0 if filled & (filled - 1) == 0 else length - filled
-                    yield (doc, a - place, k, zlib.crc32(piece), n, x // length, x % length, pad, piece)
-                    a, x = a + k, x + k
+            count = last - first + 1
+            doc = np.repeat(np.arange(len(q)), count)
+            pack_ = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count) + first[doc]
+            rounds = -(-((pack_ + 1) * packet * UNIT) // Q[q[doc]])
+            # Packets of one document and round lie together.
+            new = np.flatnonzero(np.append(True, (rounds[1:] != rounds[:-1]) | (doc[1:] != doc[:-1])))
+            doc, r = doc[new], rounds[new]
+            begin = np.maximum(pack_[new] * packet, place[doc])
+            end = (place + n)[doc]
+            stop = np.where(np.append(doc[1:] == doc[:-1], False), np.append(begin[1:], 0), end)
+            own, at = np.unique(r, return_inverse=True)
+            was, now = sent(own - 1), sent(own)
+            before = np.cumsum(now - was, axis=1) - (now - was)
+            x = was.sum(1)[at] + before[at, q[doc]] + begin - was[at, q[doc]]
+            return doc, begin, stop, x
+
+        def cut(doc, begin, stop, x):
+            """The same, cut at the ends of windows."""
+            count = (x + (stop - begin) - 1) // length - x // length + 1
+            i = np.repeat(np.arange(len(doc)), count)
+            k = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            lo = np.maximum(x[i], (x[i] // length + k) * length)
+            hi = np.minimum(x[i] + (stop - begin)[i], (x[i] // length + k + 1) * length)
+            return doc[i], begin[i] + lo - x[i], hi - lo, lo
 
         for b in sliced(batches):
-            out = []
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "queue", "place", "n", "ids")]
-            for doc, q, place, n, ids in zip(*cols):
-                out.extend(rows(doc, own[q], place, n, ids))
-            fields = list(zip(*out)) or [()] * 9
-            arrays = [pa.array(f, pa.int64()) for f in fields[:8]]
+            q = np.array([own[v] for v in b.column("queue").to_pylist()], np.int64)
+            place, n = b.column("place").to_numpy(), b.column("n").to_numpy()
+            doc, begin, size, x = cut(*runs(q, place, n))
+            start = begin - place[doc]
+            texts = b.column("ids").to_pylist()
+            pieces = [memoryview(texts[d])[lo:hi] for d, lo, hi in zip(doc.tolist(), (4 * start).tolist(), (4 * (start + size)).tolist())]
+            crc = np.fromiter(map(zlib.crc32, pieces), np.int64, len(pieces))
+            # Only the last sequence can be short; one that ends at a power of two needs no padding.
+            filled = np.minimum(length, total - x // length * length)
+            pad = np.where(filled & (filled - 1) == 0, 0, length - filled)
+            arrays = [b.column("doc_id").take(pa.array(doc)), *[pa.array(v.astype(np.int64)) for v in (start, size, crc, n[doc], x // length, x % length, pad)]]
             if with_ids:
-                arrays.append(pa.array([np.frombuffer(p, "<i4") for p in fields[8]], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids)
+                arrays.append(pa.array([np.frombuffer(p, "<i4") for p in pieces], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in SCHEMA.split(", ")] + ["ids"] * with_ids)
 
     return placed.mapInArrow(run, SCHEMA + (", ids array<int>" if with_ids else ""))
