@@ -305,12 +305,12 @@ def bfs_hops(c):
     return graph.hops(graph.neighbours(c.relationships, floor=0.3), seeds, 3)
 
 
-_SEEDED = "select distinct entity_id, 0 from memory_entities where memory_id = 3"
+_SEEDED = "select distinct entity_id, 0 from memory_entities where memory_id = 9"
 
 
-@plan(f"with {_walk(_SEEDED, 2, 0.3)}, hit as (select memory_id as id, min(hop) as hop from memory_entities join reach on entity_id = reach.id where hop > 0 group by memory_id) select h.id, cast(h.hop as bigint) as hop, m.name, round(1 - 1.0 / (h.hop + 1), 6) as distance from hit h join memories m on m.id = h.id where m.deleted_at is null and h.id <> 3")
+@plan(f"with {_walk(_SEEDED, 2, 0.3)}, hit as (select memory_id as id, min(hop) as hop from memory_entities join reach on entity_id = reach.id where hop > 0 group by memory_id) select h.id, cast(h.hop as bigint) as hop, m.name, round(1 - 1.0 / (h.hop + 1), 6) as distance from hit h join memories m on m.id = h.id where m.deleted_at is null and h.id <> 9")
 def recall_graph(c):
-    seeds = c.memories.where("id = 3").select("id")
+    seeds = c.memories.where("id = 9").select("id")
     return search.expand(c.relationships, c.memory_entities, c.memories, seeds, 2, 0.3, None).select("id", "hop", "name", "distance")
 
 
@@ -322,10 +322,10 @@ def recall(c):
 
 
 @plan(
-    f"with {_walk(_SEEDED, 2, 0.0, True)}, st as (select source_id as f, target_id as t, weight from relationships union all select target_id, source_id, weight from relationships), arr as (select r.id, r.hop, arg_min(st.weight, (st.f, -st.weight)) as weight from reach r join st on st.t = r.id join reach p on p.id = st.f and p.hop = r.hop - 1 where r.hop > 0 group by all), bm as (select memory_id, min((arr.hop, -arr.weight)) as m from memory_entities join arr on entity_id = arr.id group by memory_id) select bm.memory_id as id, name, cast(m[1] as bigint) as hop, round(-m[2], 6) as weight from bm join memories on memories.id = memory_id where deleted_at is null and memory_id <> 3 order by hop, weight desc, id limit 10"
+    f"with {_walk(_SEEDED, 2, 0.0, True)}, st as (select source_id as f, target_id as t, weight from relationships union all select target_id, source_id, weight from relationships), arr as (select r.id, r.hop, arg_min(st.weight, (st.f, -st.weight)) as weight from reach r join st on st.t = r.id join reach p on p.id = st.f and p.hop = r.hop - 1 where r.hop > 0 group by all), bm as (select memory_id, min((arr.hop, -arr.weight)) as m from memory_entities join arr on entity_id = arr.id group by memory_id) select bm.memory_id as id, name, cast(m[1] as bigint) as hop, round(-m[2], 6) as weight from bm join memories on memories.id = memory_id where deleted_at is null and memory_id <> 9 order by hop, weight desc, id limit 10"
 )
 def related(c):
-    return graph.related(c.relationships, c.memory_entities, c.memories, c.memories.where("id = 3").select("id"))
+    return graph.related(c.relationships, c.memory_entities, c.memories, c.memories.where("id = 9").select("id"))
 
 
 @plan("with st as (select source_id as f, target_id as t, relation, weight from relationships union all select target_id, source_id, relation, weight from relationships), n0 as (select cast(1000001 as bigint) as id, 0 as hop), n1 as (select id, min(hop) as hop from (select * from n0 union all select t, 1 from st where f = 1000001) group by id) select f as from_id, t as to_id, relation, weight, n1.hop + 1 as hop from st join n1 on n1.id = f")
