@@ -5,8 +5,9 @@ For every path the text length and the punctuation of its nodes are summed and
 divided by their number; both ratios are smoothed over the page's order with
 a Gaussian window, fused by multiplication, and a share of the mean and deviation of
 the fused ratio is the threshold above which paths are content.  The content's
-container is the deepest element that holds nearly all the text of content paths;
-the blocks under it are the main text, in page order.
+container is the deepest element that holds all content paths;
+the blocks under it are the main text, in page order.  If that is the whole page, its
+sections without a content path are left out.  An article or main element is judged like any other.
 
 Elements that are never main text are left out before the ratios: navigation,
 headers, footers, sidebars, forms, scripts, styles, and those whose role, class or id says
@@ -41,6 +42,9 @@ _RAW = frozenset("script style textarea title noscript iframe xmp noframes".spli
 #: Never main text, with all below.
 _OUT = frozenset("head script style noscript iframe nav header footer aside form button select option textarea input label fieldset template svg canvas object audio video menu dialog title".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Blocks of text, never the region of a page, and the elements that divide a page.
+_LEAF = frozenset("p li td th blockquote pre h1 h2 h3 h4 h5 h6 dd dt".split())
+_SECTION = frozenset("article section div main center".split())
 #: What a start tag ends when it is open: HTML's implied ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
@@ -150,8 +154,8 @@ def _smooth(values: list[float], reach: int = 1) -> list[float]:
     return out
 
 
-def main_blocks(blocks: list[tuple[tuple[str, ...], str]], share: float = 0.5, hold: float = 0.9) -> list[str]:
-    """The main text's blocks: those under the element that holds the content paths' text."""
+def main_blocks(blocks: list[tuple[tuple[str, ...], str]], share: float = 0.5) -> list[str]:
+    """The main text's blocks: those under the deepest element that holds all content paths."""
     if not blocks:
         return []
     length: dict[tuple[str, ...], list[float]] = {}
@@ -170,25 +174,19 @@ def main_blocks(blocks: list[tuple[tuple[str, ...], str]], share: float = 0.5, h
     score: dict[tuple[str, ...], list[float]] = {}
     for (path, _), f in zip(blocks, fused):
         score.setdefault(path, []).append(f)
-    content = {p for p, fs in score.items() if sum(fs) / len(fs) >= bound or "article" in p or "main" in p}
-    total = sum(length[p][1] for p in content)
-    inside = [p for p in content if "article" in p or "main" in p]
-    if inside and sum(length[p][1] for p in inside) > 0:
-        # A declared article is the region, if it holds content.
-        content, total = set(inside), sum(length[p][1] for p in inside)
-    # The deepest common element of nearly all content.
-    region: tuple[str, ...] = ()
-    while True:
-        deeper: dict[tuple[str, ...], float] = {}
-        for p in content:
-            if len(p) > len(region) and p[: len(region)] == region:
-                q = p[: len(region) + 1]
-                deeper[q] = deeper.get(q, 0) + length[p][1]
-        best = max(deeper, key=lambda q: (deeper[q], q), default=None)
-        if best is None or deeper[best] < hold * total or best[-1] in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt"):
-            break
-        region = best
-    return [t for p, t in blocks if p[: len(region)] == region and (p in content or "article" in region or "main" in region or len(p) > len(region))]
+    content = {p for p, fs in score.items() if sum(fs) / len(fs) >= bound}
+    # The deepest element that holds all content; a single block is not one.
+    region = min(content)
+    for p in content:
+        region = region[: next((k for k, (x, y) in enumerate(zip(region, p)) if x != y), min(len(region), len(p)))]
+    while region and region[-1] in _LEAF:
+        region = region[:-1]
+    # Sections of a whole page that hold no content are beside it; short blocks within an element are part of it.
+    beside: set[tuple[str, ...]] = set()
+    if region[-1:] in ((), ("html",), ("body",)):
+        n = len(region) + 1
+        beside = {p[:n] for p in score if p[len(region) : n] and p[len(region)] in _SECTION} - {p[:n] for p in content}
+    return [t for p, t in blocks if p[: len(region)] == region and p[: len(region) + 1] not in beside]
 
 
 def extract(pages: DataFrame) -> DataFrame:

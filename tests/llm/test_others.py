@@ -56,6 +56,21 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got) and got[4].page_id is None
 
 
+def test_main_text_is_chosen_by_the_ratios():
+    long = [f"Paragraph {k}, which is long enough, tells of this; and of that, too. It goes on, and on, for a while." for k in range(6)]
+    read = lambda body: html_text.main_blocks(html_text.blocks_of(f"<html><body>{body}</body></html>"))
+    ps = "".join(f"<p>{t}</p>" for t in long)
+    # A card beside the text is an article, and the text is none.
+    for card in ("<article><p>Read more</p></article>", "<main><div><p>Read more</p></div></main>", "<article><h3>Card</h3></article>"):
+        assert read(f"{card}<div>{ps}</div>") == long and read(f"<div>{ps}</div>{card}") == long
+    # No article at all, and a headline in the element.
+    assert read(f"<div><h1>Head</h1>{ps}</div><ul><li>a</li><li>b</li></ul>") == ["Head", *long]
+    # A tenth of the text, or less, in another wrapper.
+    more = "".join(f"<p>{t}</p>" for t in long * 3)
+    assert read(f"<div><div>{more}</div><section><p>{long[0]}</p></section></div>") == [*long * 3, long[0]]
+    assert read(f"<article><h1>Head</h1>{ps}</article><div><p>Short</p></div>") == ["Head", *long]
+
+
 def test_urls(spark):
     rules = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("block", "", "/")]
     urls = ["http://A.Example.com/en/71?x", "https://com/en/", "http://xexample.com/en/8#a", "http://example.comx/en/7", "nothing", None, "://", "http://best-pills.org/x", "http://x.org?/en/"]
