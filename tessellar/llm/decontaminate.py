@@ -22,8 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed masks of weight six: ones are compared, zeros are free.
-MASKS = ("1101100101", "1010011011")
+#: Fixed masks of weight four: ones are compared, zeros are free.  Of an overlap of five words or more with four fifths
+#: equal and both ends equal, every pattern is hit: s changed words leave s + 1 gaps that hold 4s equal words or more, so
+#: one holds four, or s is three at most and two neighbours hold two each, or one word of five next to an end is changed.
+MASKS = ("1111", "11011", "10111", "11101")
 MAX_SEEDS = 2_000_000
 #: Longer items are compared in overlapping pieces of so many words.
 PIECE = 64

@@ -101,6 +101,47 @@ def test_overlaps(spark, documents):
     assert [(r.doc_id, r.item_id, r.n_words) for r in got] == [(1, 1, 64)]
 
 
+def test_masks_hit_every_pattern_of_four_fifths():
+    from itertools import combinations
+
+    longest = max(map(len, decontaminate.MASKS))
+    for n in range(longest, 26):
+        for k in range(n // 5 + 1):
+            for gone in combinations(range(1, n - 1), k):
+                equal = [i not in gone for i in range(n)]
+                assert any(all(equal[at + i] for i, c in enumerate(m) if c == "1") for m in decontaminate.MASKS for at in range(n - len(m) + 1)), (n, gone)
+    # Shorter items have no changed word at four fifths.
+    assert longest // 5 <= 1 and (longest - 1) // 5 == 0
+
+
+def brute_overlaps(docs, items, need=13):
+    """(doc_id, item_id): every diagonal and run compared, without seeds."""
+    out = set()
+    for d, t in docs:
+        for i, w in items:
+            for diag in range(-len(w) + 1, len(t)):
+                same = [p for p in range(len(w)) if 0 <= diag + p < len(t) and t[diag + p] == w[p]]
+                if any(q - p + 1 >= min(need, len(w)) and (y - x + 1) * 5 >= (q - p + 1) * 4 for x, p in enumerate(same) for y, q in enumerate(same) if q >= p):
+                    out.add((d, i))
+    return out
+
+
+def test_overlaps_equal_a_comparison_without_seeds(spark):
+    rng = np.random.default_rng(8)
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (3, 5, 6, 8, 10, 11, 12, 13, 15, 20, 40, 64)]
+    docs = []
+    for n, w in items:
+        for k in range(12):
+            part = list(w)
+            gone = range(k % 5, n, 5) if k < 5 else rng.choice(n, min(n, n // 5 + int(k % 4 == 3)), replace=False)
+            for at in gone:
+                part[at] = f"x{len(docs)}y{at}"
+            docs.append((len(docs), ["before", *part, "after"]))
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{name} long, text string")
+    want = brute_overlaps(docs, items)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id")).collect()} == want and 40 < len(want) < len(docs)
+
+
 def brute_nearest(rows, k=5):
     out = {}
     fine = {i: np.array(e, float) for i, e in rows if i is not None and e and all(x is not None and np.isfinite(x) for x in e) and any(e)}
