@@ -175,9 +175,10 @@ def related(edges: DataFrame, bridge: DataFrame, memories: DataFrame, seeds: Dat
     return rows.select(F.col("memory_id").alias("id"), "name", F.col("m.hop").alias("hop"), F.round(-F.col("m.w"), 6).alias("weight")).orderBy("hop", F.desc("weight"), "id").limit(limit)
 
 
-def chains(walked: DataFrame, limit: int = 20) -> DataFrame:
-    """(from_id, to_id, path, product): evidence paths of two steps or more, heaviest first."""
-    return walked.where("hop >= 2").select(F.get("path", F.lit(0)).alias("from_id"), F.col("id").alias("to_id"), "path", F.round("product", 6).alias("product")).orderBy(F.desc("product"), "to_id").limit(limit)
+def chains(walked: DataFrame, limit: int | None = 20) -> DataFrame:
+    """(from_id, to_id, path, product): evidence paths of two steps or more, heaviest first; all of them without a limit."""
+    out = walked.where("hop >= 2").select(F.get("path", F.lit(0)).alias("from_id"), F.col("id").alias("to_id"), "path", F.round("product", 6).alias("product")).orderBy(F.desc("product"), "to_id")
+    return out if limit is None else out.limit(limit)
 
 
 def context(entities: DataFrame, edges: DataFrame, names: DataFrame, limit: int = 50) -> tuple[DataFrame, DataFrame]:

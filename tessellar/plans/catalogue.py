@@ -339,7 +339,7 @@ def traverse_edges(c):
 )
 def chains(c):
     walked = graph.walk(graph.neighbours(c.relationships, floor=0.3), c.entities.where("id = 2000003"), 3)
-    return graph.chains(walked, 1_000_000).select("from_id", "to_id", (F.size("path") - 1).alias("hop"), "product")
+    return graph.chains(walked, None).select("from_id", "to_id", (F.size("path") - 1).alias("hop"), "product")
 
 
 @plan("with x as (select a.entity_id as a, b.entity_id as b, count(*) as n from memory_entities a join memory_entities b on a.memory_id = b.memory_id and a.entity_id < b.entity_id group by all) select a, b, n from x where not exists (select 1 from relationships r where least(source_id, target_id) = a and greatest(source_id, target_id) = b) order by n desc, a, b limit 50")
@@ -538,7 +538,7 @@ def chunks(c):
 @plan()
 def fuzzy_entities(c):
     score = X.entity_name_similarity("nation-1", F.col("name"))
-    return c.entities.where("id < 3000000").select("id", "name", score.alias("score")).where("score >= 0.75").orderBy(F.desc("score"), "name").limit(10)
+    return c.entities.select("id", "name", score.alias("score")).where("score >= 0.75").orderBy(F.desc("score"), "name").limit(10)
 
 
 @plan()

@@ -187,3 +187,15 @@ def test_files(spark, tmp_path):
     e = edges(spark, [(1, 2, "uses", 0.5), (1, 9, "uses", 0.5)])
     assert files.graph_snapshot(n, e)[1].first().dangling == 1
     assert {r.value for r in files.graph_lines(n, e, "mermaid").collect()} == {'  a_b["a b"]', '  c["c"]', "  a_b -->|uses| c"}
+
+
+def test_fuzzy_entities_and_chains_take_all_rows(spark):
+    from types import SimpleNamespace
+
+    from tessellar.plans import catalogue
+
+    entities = spark.createDataFrame([(2000001, "nation-1"), (3000001, "nation-1x"), (5000001, "nation-1"), (5000002, "part-77")], "id long, name string")
+    got = catalogue.fuzzy_entities(SimpleNamespace(entities=entities)).collect()
+    assert {r.id for r in got} == {2000001, 3000001, 5000001}
+    walked = spark.range(50).select("id", F.lit(2).alias("hop"), F.array(F.lit(1), F.lit(2), "id").alias("path"), F.lit(0.5).alias("product"))
+    assert graph.chains(walked, None).count() == 50 and graph.chains(walked).count() == 20
