@@ -17,9 +17,9 @@ task: the deficits carry across windows and partitions by arithmetic.
 A document's place comes from two running counts: within the task that encoded
 it, kept with its row, and over the tasks before, from a sum per task and queue.
 
-There are at most ``max_queues`` queues: more sources than that share queues by a hash
-of their name.  Proportions are those of the corpus or ``weights`` by source; a queue that ends early leaves
-its turn to the rest.
+Proportions are those of the corpus or ``weights`` by source; a queue that ends early leaves
+its turn to the rest.  There are at most ``max_queues`` queues, since every task holds their table: more sources than that share
+queues by a hash of their name, and a shared queue has its sources' proportions together.
 
 Edge cases: a null text is an empty one and has only the end id; a null source
 is a queue of its own; rows that repeat an id are documents each; a very long text spans windows;
@@ -38,6 +38,8 @@ from .common import sliced, small, stored
 #: Credits are counted in 1/2**16 tokens.
 UNIT = 1 << 16
 MAX_QUEUES = 1024
+#: Rounds times queues that a task works on at once.
+CELLS = 1 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded long"
 
 
@@ -45,13 +47,22 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, length: int = 1024, p
     """A row per piece: its document, where it starts there, its length and checksum, and its sequence and offset; with ``with_ids`` the ids."""
     tokens = stored(_encoded(docs, tokenizer, end_id, max_queues), "packed")
     # What was encoded before, per task and queue, and the queues: rows that count tasks and queues, not documents.
-    sums = stored(tokens.groupBy("queue", "task").agg(F.sum("n").alias("n"), F.min("name").alias("name")), "sums")
+    sums = stored(tokens.groupBy("queue", "task").agg(F.sum("n").alias("n")), "sums")
     w = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select("queue", "task", F.coalesce(F.sum("n").over(w), F.lit(0)).cast("long").alias("before"))
     # At most max_queues rows come to the driver.
-    queues = sorted((r["queue"], r["n"], r["name"]) for r in sums.groupBy("queue").agg(F.sum("n").alias("n"), F.min("name").alias("name")).collect())
+    held = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+    held = held.join(_shares(tokens, weights), "queue") if weights is not None else held.withColumn("share", F.col("n").cast("double"))
+    queues = sorted((r["queue"], r["n"], r["share"]) for r in held.collect())
     placed = tokens.join(small(before), ["queue", "task"]).select("doc_id", "queue", (F.col("before") + F.col("start_in_task")).alias("place"), "n", "ids")
-    return _pieces(placed, queues, length, packet, weights, with_ids)
+    return _pieces(placed, queues, length, packet, with_ids)
+
+
+def _shares(tokens: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """(queue, share): the weights of each queue's sources together; sources that ``weights`` lacks have its smallest."""
+    known = tokens.sparkSession.createDataFrame(list(weights.items()), "name string, weight double")
+    names = tokens.select("queue", "name").distinct().join(small(known), "name", "left")
+    return names.groupBy("queue").agg(F.sum(F.coalesce("weight", F.lit(min(weights.values(), default=1.0)))).alias("share"))
 
 
 def _encoded(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int) -> DataFrame:
@@ -83,16 +94,15 @@ def _encoded(docs: DataFrame, tokenizer: str, end_id: int, max_queues: int) -> D
     return rows.mapInArrow(run, "task int, queue long, name string, doc_id long, n long, start_in_task long, ids binary")
 
 
-def quanta(queues: list[tuple[int, int, str]], length: int, weights: dict[str, float] | None) -> list[int]:
+def quanta(queues: list[tuple[int, int, float]], length: int) -> list[int]:
     """Each queue's credit per round, in 1/``UNIT`` tokens: together a window."""
-    share = [float(n) for _, n, _ in queues] if weights is None else [float(weights.get(name, min(weights.values(), default=1.0))) for _, _, name in queues]
-    total = sum(share) or 1.0
-    return [max(1, round(length * UNIT * s / total)) for s in share]
+    total = sum(share for _, _, share in queues) or 1.0
+    return [max(1, round(length * UNIT * share / total)) for _, _, share in queues]
 
 
-def _pieces(placed: DataFrame, queues: list[tuple[int, int, str]], length: int, packet: int, weights, with_ids: bool) -> DataFrame:
+def _pieces(placed: DataFrame, queues: list[tuple[int, int, float]], length: int, packet: int, with_ids: bool) -> DataFrame:
     names = [q for q, _, _ in queues]
-    held, credit = [n for _, n, _ in queues], quanta(queues, length, weights)
+    held, credit = [n for _, n, _ in queues], quanta(queues, length)
     total = sum(held)
 
     def run(batches: Iterator) -> Iterator:
@@ -122,9 +132,14 @@ def _pieces(placed: DataFrame, queues: list[tuple[int, int, str]], length: int,
             end = (place + n)[doc]
             stop = np.where(np.append(doc[1:] == doc[:-1], False), np.append(begin[1:], 0), end)
             own, at = np.unique(r, return_inverse=True)
-            was, now = sent(own - 1), sent(own)
-            before = np.cumsum(now - was, axis=1) - (now - was)
-            x = was.sum(1)[at] + before[at, q[doc]] + begin - was[at, q[doc]]
+            x, by_round, step = np.empty(len(r), np.int64), np.argsort(at, kind="stable"), max(1, CELLS // len(T))
+            for lo in range(0, len(own), step):
+                some = own[lo : lo + step]
+                was, now = sent(some - 1), sent(some)
+                before = np.cumsum(now - was, axis=1) - (now - was)
+                i = by_round[slice(*np.searchsorted(at[by_round], [lo, lo + step]))]
+                k, mine = at[i] - lo, q[doc[i]]
+                x[i] = was.sum(1)[k] + before[k, mine] + begin[i] - was[k, mine]
             return doc, begin, stop, x
 
         def cut(doc, begin, stop, x):

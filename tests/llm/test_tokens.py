@@ -3,12 +3,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessellar.llm import packing, token_files
 from tessellar.llm.queries import tokenizer_path
 from tessellar.llm.tokenize import FastEncoder
 
-ODD = ["", " ", "a  b\n\n c \n", "don't we'll\t x ΣΑΣ İstanbul é 日本 語 123,45 <|endoftext|> \x1c a\x85b", " lead", "trail ", "x \n y", "½ x² ª º_a_b __ it'll 'S 12a\t", "naïve's CAFÉ’s", "Ünïcödé ### %%% word!!"]
+ODD = ["", " ", "a  b\n\n c \n", "don't we'll\t x ΣΑΣ İstanbul é 日本 語 123,45 <|endoftext|> \x1c a\x85b", " lead", "trail ", "x \n y", "½ x² ª º_a_b __ it'll 'S 12a\t", "naïve's CAFÉ’s", "Ünïcödé ### %%% word!!", "<|startoftext|>a<|endoftext|> <|ENDOFTEXT|> b", "<|endoftext|>", " " * 1_000_000, "x" + "\n" * 1_000_000 + "y"]
 
 
 @pytest.fixture(scope="module", params=["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -20,7 +21,6 @@ def reference(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path(name))
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
@@ -31,6 +31,17 @@ def test_ids_are_the_librarys(encoder, documents):
         assert np.frombuffer(enc.encode(t), "<u4").tolist() == ids(t)
 
 
+def test_special_tokens_may_be_text():
+    from tokenizers import Tokenizer
+
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t = Tokenizer.from_file(tokenizer_path(name))
+        t.encode_special_tokens = True
+        enc = FastEncoder(tokenizer_path(name), special_as_text=True)
+        for text in ODD[:-2]:
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
@@ -81,6 +92,27 @@ def test_windows_hold_the_mixture(spark):
     assert sum(r.length for r in folded) == n
 
 
+def test_shared_queues_have_their_sources_weights(spark):
+    """More sources than queues: the groups that share a queue keep their proportions together, also in small slices of rounds."""
+    rows = [(i, "word " * 60, f"s{i % 6}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"s0": 6.0, "s1": 1.0, "s2": 1.0, "s3": 1.0, "s4": 1.0, "s5": 2.0}
+    of = {r["source"]: r["q"] for r in docs.select("source", F.pmod(F.xxhash64("source"), F.lit(2)).alias("q")).distinct().collect()}
+    got = packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), length=256, packet=16, weights=weights, max_queues=2).collect()
+    share = sum(w for s, w in weights.items() if of[s] == 0) / sum(weights.values())
+    some = [r for r in got if r.sequence_id < 10]
+    sent = sum(r.length for r in some if of[f"s{r.doc_id % 6}"] == 0)
+    assert abs(sent - share * sum(r.length for r in some)) <= 3 * 16
+    old, packing.CELLS = packing.CELLS, 1
+    try:
+        queues = [(0, 9_000, 6.0), (1, 5_000, 3.0), (2, 70, 1.0)]
+        placed = spark.createDataFrame([(d, d % 3, p, n, bytes(4 * n)) for d, p, n in ((0, 0, 9_000), (1, 0, 5_000), (2, 0, 70))], "doc_id long, queue long, place long, n long, ids binary")
+        cut = [tuple(r) for r in packing._pieces(placed, queues, 256, 16, False).collect()]
+        packing.CELLS = old
+        assert sorted(cut) == sorted(tuple(r) for r in packing._pieces(placed, queues, 256, 16, False).collect())
+    finally:
+        packing.CELLS = old
+
 def test_files_round_trip(spark, documents, tmp_path):
     ids = reference("word_bpe_49k.json")
     path = str(tmp_path / "tokens")
