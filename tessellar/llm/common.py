@@ -12,9 +12,11 @@ _LOCAL_ROOT: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; only where that is unset, a local one."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; only where that is unset and Spark runs in one process, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = _LOCAL_ROOT.setdefault("root", tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -46,8 +48,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest node of its connected component.
 
     Alternating large-star and small-star rounds on the edge table; each round is
-    a grouped minimum with partial aggregation, joined back, so neither a hub
-    nor a large component gathers in one task.  Stops when a round changes nothing.
+    a grouped minimum with partial aggregation, joined back: a hub's edges meet its one minimum in a join that
+    Spark may split.  Stops when a round changes nothing; the rounds grow with the logarithm of a component's
+    size, and if they do not suffice it raises an error.
     """
     e = stored(_oriented(edges.select("a", "b")), "cc")
     for _ in range(rounds):
@@ -66,6 +69,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             e = new
             break
         e = new
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return (
         e.groupBy("b").agg(F.min("a").alias("root")).withColumnRenamed("b", "node").unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     )
