@@ -122,31 +122,23 @@ select d.doc_id, c.class_id, coalesce(l.n_links, 0) as n_links from d join c usi
 """
 
 
-def _sql_seed(mask: str, at: str) -> str:
-    return "concat_ws('|', " + ", ".join(f"words[{at} + {i + 1}]" for i, c in enumerate(mask) if c == "1") + ")"
-
-
 _WORDS_SQL = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-_MASKS = decontaminate.MASKS
-_LONGEST, _PIECE = max(map(len, _MASKS)), decontaminate.PIECE
-_SHORT = [("1" * n, f"len(words) = {n}") for n in range(1, _LONGEST)]
-_EVERY = [*((m, f"len(words) >= {_LONGEST}") for m in _MASKS), *_SHORT]
+#: Items with fewer words than the longest mask must be equal in all of them.
+_LONGEST = max(map(len, decontaminate.MASKS))
 
+# No seeds: every diagonal of every document and item with an equal word is looked at.
 _OP10_SQL = f"""
-with d as (select distinct doc_id, {_WORDS_SQL} as words from documents),
-i0 as (select item_id, {_WORDS_SQL} as words from benchmark where item_id is not null),
-i1 as (select item_id, words from i0 where len(words) between 1 and {_PIECE}
- union select item_id, words[s + 1:s + {_PIECE}] from (select item_id, words, unnest(range(0, len(words) - {_PIECE // 2}, {_PIECE // 2})) as s from i0 where len(words) > {_PIECE})),
-i as (select row_number() over () as pid, item_id, words from i1),
-ts as ({" union all ".join(f"select pid, words, pos, {k} as salt, {_sql_seed(m, 'pos')} as seed from (select *, unnest(range(len(words) - {len(m) - 1})) as pos from i where {fit})" for k, (m, fit) in enumerate(_EVERY))}),
-ds as ({" union all ".join(f"select doc_id, words, pos, {k} as salt, {_sql_seed(m, 'pos')} as seed from (select *, unnest(range(len(words) - {len(m) - 1})) as pos from d where len(words) >= {len(m)} and exists (select 1 from i where {fit.replace('words', 'i.words')}))" for k, (m, fit) in enumerate(_EVERY))}),
-h as (select distinct ds.doc_id, ts.pid, ds.pos - ts.pos as diag, ds.words as dw, ts.words as iw from ds join ts on ds.salt = ts.salt and ds.seed = ts.seed),
-e as (select doc_id, pid, diag, len(iw) as m, iw, dw, unnest(range(len(iw))) as p from h),
-q as (select *, row_number() over (partition by doc_id, pid, diag, dw order by p) as k from (select * from e where diag + p >= 0 and dw[diag + p + 1] = iw[p + 1])),
-r as (select a.doc_id, a.pid, a.diag + a.p as start_word, b.p - a.p + 1 as n_words, b.k - a.k + 1 as n_equal, a.m from q a join q b on a.doc_id = b.doc_id and a.pid = b.pid and a.diag = b.diag and a.dw = b.dw and a.p <= b.p),
-s as (select r.*, i.item_id from r join i using (pid) where (m < {_LONGEST} and n_equal = m) or (m >= {_LONGEST} and n_words >= least(13, m) and n_equal >= n_words * 0.8))
-select doc_id, item_id, start_word, n_words, n_equal from s
-qualify row_number() over (partition by doc_id, item_id order by n_words desc, n_equal desc, start_word) = 1
+with d as (select row_number() over () as did, doc_id, words from (select distinct doc_id, {_WORDS_SQL} as words from documents)),
+i as (select row_number() over () as pid, item_id, words, len(words) as m from (select distinct item_id, {_WORDS_SQL} as words from benchmark where item_id is not null)),
+dw as (select did, unnest(words) as w, unnest(range(len(words))) as at from d),
+iw as (select pid, m, unnest(words) as w, unnest(range(m)) as p from i),
+e as (select did, pid, m, at - p as diag, p from dw join iw using (w)),
+c as (select *, count(*) over (partition by did, pid, diag) as n, row_number() over (partition by did, pid, diag order by p) as k from e),
+q as (select * from c where n >= case when m < {_LONGEST} then m else ceil(0.8 * least(13, m)) end),
+r as (select a.did, a.pid, a.m, a.diag + a.p as start_word, b.p - a.p + 1 as n_words, b.k - a.k + 1 as n_equal from q a join q b on a.did = b.did and a.pid = b.pid and a.diag = b.diag and a.p <= b.p),
+s as (select * from r where (m < {_LONGEST} and n_equal = m) or (m >= {_LONGEST} and n_words >= least(13, m) and n_equal >= n_words * 0.8))
+select d.doc_id, i.item_id, start_word, n_words, n_equal from s join d using (did) join i using (pid)
+qualify row_number() over (partition by d.doc_id, i.item_id order by n_words desc, n_equal desc, start_word) = 1
 """
 
 
