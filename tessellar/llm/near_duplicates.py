@@ -5,11 +5,11 @@
    target recall.  Texts with the same words are one node from here on.
 2. Nodes shuffle on band hashes.  Of buckets of up to ``bucket`` nodes all pairs are
    candidates; sizes too unlike for the threshold drop out unread.
-3. Nodes of a larger bucket are dealt to blocks of at most ``block`` nodes, and pairs of blocks
-   are compared in a task each, on whole shingle sets by matrix products.  Such a task
-   returns a spanning forest of its links and a count per node, never the pairs,
-   so a group of n near copies costs n rows for each block and band it is in.
-   A pair that meets in several bands is counted in the first.
+3. Nodes of larger buckets form groups, the connected components of nodes and buckets, so a node is in one group
+   however many buckets it shares.  A group is dealt by hash to blocks of about ``block`` nodes or ``block_shingles``
+   shingles, and pairs of blocks are compared in a task each, on whole shingle sets by matrix products: every
+   pair of a group once.  Such a task returns a spanning forest of its links and a count per node, never the pairs.
+   Links of n similar texts can only be counted in n * n / 2 comparisons; a text is sent once to each block of its group.
 4. Every candidate is verified on the full sets; connected components of the
    verified links are the classes.
 
@@ -112,12 +112,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, size: int) -
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def _crowded(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, size: int, block: int) -> DataFrame:
-    """(a, b, links): for nodes of large buckets, a spanning forest of links within each pair of blocks, and how many links ``a`` has there first."""
-    counts = members.groupBy("band", "value").agg(F.count(F.lit(1)).alias("h")).where("h > 1")
-    held = members.select("key", "band", "value").join(counts, ["band", "value"]).withColumn("nb", F.ceil(F.col("h") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "band", "value", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(nodes.select("key", "copies", "bands").join(texts, "key"), "key")
+def _crowded(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, size: int, block: int, block_shingles: int) -> DataFrame:
+    """(a, b, links): for nodes of large buckets, a spanning forest of links within each pair of blocks, and how many links ``a`` has there."""
+    firsts = members.groupBy("band", "value").agg(F.min("key").alias("b"))
+    groups = components(members.join(firsts, ["band", "value"]).select(F.col("key").alias("a"), "b"))
+    held = stored(groups.withColumnRenamed("node", "key").join(nodes.select("key", "copies", "n"), "key"), "groups")
+    sized = held.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / block_shingles)).cast("int").alias("nb"))
+    held = held.join(sized, "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
+    dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "copies", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    full = dealt.join(texts, "key")
 
     def run(keys, pdf):
         import numpy as np
@@ -125,7 +128,7 @@ def _crowded(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold:
 
         from .shingles import shingle_set
 
-        band, i, j = int(keys[0]), int(keys[2]), int(keys[3])
+        i, j = int(keys[1]), int(keys[2])
         pdf = pdf.sort_values("key").reset_index(drop=True)
         sets = [shingle_set(t, size) for t in pdf["text"]]
         n = np.array([len(s) for s in sets], np.float64)
@@ -147,11 +150,7 @@ def _crowded(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold:
             # Pairs within one block are another task's.
             side = pdf["own"].to_numpy()
             linked &= side[:, None] != side[None, :]
-        bands = np.stack(pdf["bands"].to_numpy())
-        first = linked.copy()
-        for e in range(band):
-            first &= bands[:, e][:, None] != bands[:, e][None, :]
-        links = (first * pdf["copies"].to_numpy()[None, :]).sum(1)
+        links = (linked * pdf["copies"].to_numpy()[None, :]).sum(1)
         root = np.arange(len(sets))
         for k in range(len(sets)):
             # The smallest root that a node's links lead to; repeated until it settles.
@@ -163,11 +162,14 @@ def _crowded(members: DataFrame, nodes: DataFrame, texts: DataFrame, threshold:
         keep = (root != np.arange(len(sets))) | (links > 0)
         return pd.DataFrame({"a": pdf["key"][keep], "b": pdf["key"].to_numpy()[root[keep]], "links": links[keep].astype(np.int64)})
 
-    return full.groupBy("band", "value", "i", "j").applyInPandas(run, "a binary, b binary, links long")
+    return full.groupBy("root", "i", "j").applyInPandas(run, "a binary, b binary, links long")
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.9999, bucket: int = 64, block: int = 1024) -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: the smallest id of its class, and how many other documents it is similar to."""
+def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.9999, bucket: int = 64, block: int = 1024, block_shingles: int = 1 << 20, with_keys: bool = False) -> DataFrame:
+    """(doc_id, class_id, n_links) of every row: the smallest id of its class, and how many other documents it is similar to.
+
+    With ``with_keys`` also text_hash, the text's ``xxhash64``, and class_key, which tells classes apart where ids repeat; null for texts without words.
+    """
     bands, rows = bands_for(threshold, recall)
     signed = stored(signatures(docs, bands, rows, size), "signed")
     nodes = stored(
@@ -200,7 +202,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: floa
     texts = stored(texts, "texts")
 
     found = stored(_verified(pairs, texts, threshold, size), "found")
-    forest = stored(_crowded(crowd, nodes, texts, threshold, size, block), "forest")
+    forest = stored(_crowded(crowd, nodes, texts, threshold, size, block, block_shingles), "forest")
     roots = components(found.unionByName(forest.select("a", "b")))
     copies = nodes.select("key", "copies")
     counted = (
@@ -213,7 +215,9 @@ def classes(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: floa
     )
     placed = nodes.select("key", "rep", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     ids = placed.groupBy("root").agg(F.min("rep").alias("class_id"))
-    info = placed.join(ids, "root").join(counted, "key", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    info = placed.join(ids, "root").join(counted, "key", "left").select("key", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("root").alias("class_key"))
     # Documents without words share a key but no class.
-    some = signed.where("n > 0").select("doc_id", "key").join(stored(info, "info"), "key").select("doc_id", "class_id", "n_links")
-    return some.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    names = ["doc_id", "class_id", "n_links", *(["text_hash", "class_key"] if with_keys else [])]
+    some = signed.where("n > 0").select("doc_id", "text_hash", "key").join(stored(info, "info"), "key").select(*names)
+    none = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("binary").alias("class_key"))
+    return some.unionByName(none.select(*names))
