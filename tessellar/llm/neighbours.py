@@ -2,41 +2,52 @@
 
 Vectors are scaled to length one and projected to ``m`` dimensions by Gaussian
 (2-stable) directions, so a projected squared distance over the true one is
-chi-square distributed with m degrees of freedom.  Rows are indexed in blocks, each by a
-kd-tree over its projections.  A query walks a block's leaves by rising projected
-distance and verifies their vectors; it stops when, by the chi-square law, a vector nearer than
-the k-th found would lie in a visited leaf with probability ``sure``.
+chi-square distributed with m degrees of freedom.
 
-Every block of rows meets every chunk of queries: a stated query set against all
-rows.  Blocks and chunks are bounded, so each group is.  Equal vectors are one
-entry of the index with their k + 1 smallest ids (counted out before any shuffle by a
-limited window), so a vector that a third of all rows share costs no more than one.
+Rows are indexed in cells of the projected space: the splits of a kd-tree over a bounded sample (``SAMPLE`` rows), so a cell
+holds about ``BLOCK`` rows; every row is in one cell, once, and a cell too full is dealt to several blocks by hash.
+A task builds the kd-tree of a block and queries stream past it.  A query
+walks a block's leaves by rising projected distance and verifies their vectors; it stops when, by the chi-square law, a vector nearer than
+the k-th found would lie in a visited leaf with probability ``sure``.  First each query visits its own cell; the k-th
+found there bounds, by the same law, which other cells it visits at all.
+
+Vectors of one direction are one entry of the index with their k + 1 smallest ids (counted out before any shuffle by a
+limited window), so a vector that a third of all rows share, or multiples of, costs no more than one.
 
 Edge cases: vectors null, empty, zero or with null or non-finite components take
 no part, nor do null ids; vectors of other widths are searched among their own;
-repeated rows of one id are one row where the vector is equal; ties go to the smaller id;
-fewer candidates than k are all returned; an empty table gives an empty result.
+repeated rows of one id are one row where the direction is equal; scores that differ by less than 1e-12 are ties and go to the smaller id;
+fewer candidates than k are all returned; an empty table gives an empty result; extra columns are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Vectors of an index block, queries of a chunk.
-BLOCK, CHUNK = 16_384, 2_048
+#: Vectors of an index block, queries that a task takes past it, rows that cells are fitted on, and cells at most: every task has their table.
+BLOCK, CHUNK, SAMPLE, CELLS = 16_384, 65_536, 20_000, 16_384
 LEAF = 64
+#: Digits after which directions and scores are equal.
+DIGITS = 12
 
 
 def _valid(rows: DataFrame) -> DataFrame:
     e = F.col("embedding")
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists(e, lambda x: x != 0)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & fine & some).distinct()
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & fine & some)
+
+
+def _direction() -> Column:
+    """The embedding at length one, rounded; scaled first by its largest component, so squares stay finite."""
+    scaled = F.transform("embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs)))
+    norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
+    return scaled, F.transform("scaled", lambda x: F.round(x / norm, DIGITS) + F.lit(0.0))
 
 
 def chi_square(x, m: int):
@@ -88,81 +99,275 @@ class Tree:
         return order, d[order]
 
 
-def _search(index, queries, k: int, m: int, sure: float, seed: int, chunk: int = 4):
-    """For each query vector its k best index rows by cosine: (query row, index row, cosine)."""
+def lines_for(width: int, m: int, seed: int):
+    """The projection of vectors of ``width`` components: (width, up to m) Gaussian directions, an even number."""
+    import numpy as np
+
+    return np.random.default_rng(seed).standard_normal((width, min(m, max(2, width // 2 * 2))))
+
+
+def projected(vectors, m: int, seed: int):
+    """Vectors of one width at length one, and their projections, filled with zeros to ``m`` dimensions."""
+    import numpy as np
+
+    unit = vectors / np.abs(vectors).max(1, keepdims=True)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    points = unit @ lines_for(vectors.shape[1], m, seed)
+    return unit, np.pad(points, ((0, 0), (0, m - points.shape[1])))
+
+
+class Block:
+    """Rows of one width under a kd-tree, searched for many queries at once."""
+
+    def __init__(self, vectors, m: int, seed: int):
+        import numpy as np
+
+        self.vectors, self.m, self.seed = vectors, m, seed
+        unit, points = projected(vectors, m, seed)
+        self.free = lines_for(vectors.shape[1], m, seed).shape[1]
+        self.tree = Tree(points)
+        size = max(b - a for a, b in self.tree.bounds)
+        # Leaves of equal size; what fills one up repeats its first row and does not count.
+        at = np.array([[a + min(i, b - a - 1) for i in range(size)] for a, b in self.tree.bounds])
+        self.rows = self.tree.order[at]
+        self.real = np.arange(size)[None, :] < np.array([[b - a] for a, b in self.tree.bounds])
+        self.laid = unit[self.rows]
+
+    def search(self, queries, k: int, sure: float, far=None):
+        """(rows, cosines), each (queries, k): the best first, ties to the earlier row; -1 and -inf where there are fewer.
+
+        ``far`` are squared distances that the k-th of each query is known not to exceed.
+        """
+        import numpy as np
+
+        unit, points = projected(queries, self.m, self.seed)
+        gap = np.maximum(np.maximum(self.tree.low[None] - points[:, None], points[:, None] - self.tree.high[None]), 0)
+        near = (gap * gap).sum(2)
+        order = np.argsort(near, axis=1, kind="stable")
+        near = np.take_along_axis(near, order, 1)
+        best_c, best_r = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
+        far = np.full(len(queries), np.inf) if far is None else far
+        on = np.arange(len(queries))
+        for step in range(near.shape[1]):
+            # The squared distance of the k-th on the unit sphere; rounding may leave a trace below zero.
+            kth = np.minimum(np.maximum(2 - 2 * best_c[on, -1], 1e-12), far[on])
+            d = near[on, step]
+            stop = (d > 1e-9) & np.isfinite(kth) & (chi_square(d / kth, self.free) >= sure)
+            on = on[~stop]
+            if not len(on):
+                break
+            leaf = order[on, step]
+            c = np.where(self.real[leaf], np.round(np.einsum("qw,qlw->ql", unit[on], self.laid[leaf]), DIGITS), -np.inf)
+            c, r = np.concatenate([best_c[on], c], 1), np.concatenate([best_r[on], np.where(self.real[leaf], self.rows[leaf], -1)], 1)
+            by_row = np.argsort(r, axis=1, kind="stable")
+            c, r = np.take_along_axis(c, by_row, 1), np.take_along_axis(r, by_row, 1)
+            top = np.argsort(-c, axis=1, kind="stable")[:, :k]
+            best_c[on], best_r[on] = np.take_along_axis(c, top, 1), np.take_along_axis(r, top, 1)
+        return best_r, best_c
+
+
+def splits_of(points, cells: int):
+    """A kd-tree's splits as (dimension, bound, left, right) by number, a negative number being a cell; () for one cell."""
+    import numpy as np
+
+    out, count = [], [0]
+
+    def grow(at, parts: int) -> int:
+        if parts <= 1 or len(at) < 2:
+            count[0] += 1
+            return -count[0]
+        d = int(np.argmax(points[at].max(0) - points[at].min(0)))
+        bound = float(np.median(points[at, d]))
+        low = points[at, d] <= bound
+        me = len(out)
+        out.append(None)
+        if low.all():
+            out.pop()
+            count[0] += 1
+            return -count[0]
+        out[me] = (d, bound, grow(at[low], parts // 2), grow(at[~low], parts - parts // 2))
+        return me
+
+    grow(np.arange(len(points)), cells)
+    return tuple(out)
+
+
+def cells_of(points, splits):
+    """The cell of each point."""
     import numpy as np
 
-    width = index.shape[1]
-    unit = index / np.linalg.norm(index, axis=1, keepdims=True)
-    q_unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    m = min(m, max(2, width // 2 * 2))
-    lines = np.random.default_rng(seed).standard_normal((width, m))
-    points, q_points = unit @ lines, q_unit @ lines
-    tree = Tree(points)
-    laid = unit[tree.order]
-    out = []
-    for i in range(len(queries)):
-        order, near = tree.walk(q_points[i])
-        best_c, best_r, at = np.empty(0), np.empty(0, int), 0
-        while at < len(order):
-            if len(best_c) >= k:
-                # The squared distance of the k-th on the unit sphere; rounding may leave a trace below zero.
-                far = max(2 - 2 * best_c.min(), 1e-12)
-                if near[at] > 1e-9 and chi_square(near[at] / far, m) >= sure:
-                    break
-            rows = np.concatenate([np.arange(*tree.bounds[j]) for j in order[at : at + chunk]])
-            best_c = np.concatenate([best_c, laid[rows] @ q_unit[i]])
-            best_r = np.concatenate([best_r, rows])
-            if len(best_c) > k:
-                top = np.argpartition(-best_c, k - 1)[:k]
-                best_c, best_r = best_c[top], best_r[top]
-            at += chunk
-        out += [(i, int(tree.order[r]), float(c)) for r, c in zip(best_r, best_c)]
+    out, todo = np.ones(len(points), np.int64), [(0, np.arange(len(points)))]
+    while splits and todo:
+        node, at = todo.pop()
+        if node < 0:
+            out[at] = -node
+            continue
+        d, bound, left, right = splits[node]
+        low = points[at, d] <= bound
+        todo += [(left, at[low]), (right, at[~low])]
     return out
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, sure: float = 0.97, seed: int = 11) -> DataFrame:
+def _pointed(rows: DataFrame, m: int, seed: int, splits=()) -> DataFrame:
+    """``rows`` with the projection of their embedding as point, and its cell."""
+    from pyspark.sql.types import ArrayType, DoubleType, IntegerType
+
+    schema = rows.schema
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            e, widths = b.column("embedding"), b.column("width").to_numpy()
+            values, edges = e.values.to_numpy(), e.offsets.to_numpy()
+            points = np.zeros((b.num_rows, m))
+            for w in np.unique(widths):
+                at = np.flatnonzero(widths == w)
+                points[at] = projected(values[edges[at][:, None] + np.arange(w)], m, seed)[1]
+            own = [pa.array(list(points), pa.list_(pa.float64())), pa.array(cells_of(points, splits), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *own], [*b.schema.names, "point", "cell"])
+
+    from pyspark.sql.types import StructField, StructType
+
+    return rows.mapInArrow(run, StructType([*schema.fields, StructField("point", ArrayType(DoubleType())), StructField("cell", IntegerType())]))
+
+
+def _found(index: DataFrame, asked: DataFrame, k: int, m: int, sure: float, seed: int) -> DataFrame:
+    """(q, ids, score): for each (q, embedding, width, cell, far) of ``asked`` the k best entries of its cell's blocks.
+
+    A block goes once to each ``CHUNK`` of the queries of its cell, ahead of them.
+    """
+    blocks = index.select("width", "cell", "sub").distinct()
+    visits = asked.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    keys = ["width", "cell", "sub", "part"]
+    left = index.join(visits, ["width", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select(*keys, F.lit(None).cast("long").alias("q"), "entry", "ids", "embedding", F.lit(None).cast("double").alias("far"))
+    right = asked.join(visits, ["width", "cell"]).join(blocks, ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
+    right = right.select(*keys, "q", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("array<long>").alias("ids"), "embedding", "far")
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        now, rows, ids, block = None, [], [], None
+        for b in batches:
+            where = np.stack([b.column(c).to_numpy() for c in keys], 1)
+            e = b.column("embedding")
+            values, edges, q = e.values.to_numpy(), e.offsets.to_numpy(), b.column("q")
+            cut = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(1)))
+            for lo, hi in zip(cut, np.append(cut[1:], len(where))):
+                if now is None or (where[lo] != now).any():
+                    now, rows, ids, block = where[lo], [], [], None
+                asks = np.asarray(q.slice(lo, hi - lo).is_valid())
+                n = int(np.argmax(np.append(asks, True)))
+                vectors = values[edges[lo] : edges[hi]].reshape(hi - lo, -1)
+                if n:
+                    rows.append(vectors[:n])
+                    ids += b.column("ids").slice(lo, n).to_pylist()
+                if n == hi - lo:
+                    continue
+                if block is None:
+                    block = Block(np.concatenate(rows), m, seed)
+                far, names = b.column("far").to_numpy(zero_copy_only=False)[lo + n : hi], q.slice(lo + n, hi - lo - n).to_numpy()
+                for i in range(0, len(names), 128):
+                    x = vectors[n + i : n + i + 128]
+                    r, _ = block.search(x, k, sure, np.where(np.isnan(f := far[i : i + 128].astype(float)), np.inf, f))
+                    at, _ = np.nonzero(r >= 0)
+                    r = r[r >= 0]
+                    # The measure itself, on the original vectors.
+                    u, v = x[at], block.vectors[r]
+                    score = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 128][at]), pa.array([ids[j] for j in r], pa.list_(pa.int64())), pa.array(score)], ["q", "ids", "score"])
+
+    both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, F.col("q").asc_nulls_first(), "entry")
+    return both.drop("entry").mapInArrow(run, "q long, ids array<long>, score double")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, sure: float = 0.97, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest of ``rows`` other than itself, by cosine.
 
     ``queries`` (vec_id, embedding) need not be among ``rows``; a row of the same id is left out.
     """
-    valid = stored(_valid(rows), "vectors")
-    # One entry per different vector, with the k + 1 smallest of its ids.
-    w = Window.partitionBy("embedding").orderBy("vec_id")
-    entries = valid.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1).groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = stored(entries.withColumn("entry", F.get("ids", F.lit(0))).withColumn("width", F.size("embedding")), "entries")
-    asked = _valid(queries).withColumnRenamed("vec_id", "query_id")
-    wanted = stored(asked.groupBy("embedding").agg(F.min("query_id").alias("q")).withColumn("width", F.size("embedding")), "asked")
-    n_blocks = max(1, -(-entries.count() // BLOCK))
-    n_chunks = max(1, -(-wanted.count() // CHUNK))
-
-    def every(name: str, n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-
-    left = entries.select("entry", "ids", "embedding", "width", F.pmod(F.xxhash64("entry"), F.lit(n_blocks)).cast("int").alias("block"), every("chunk", n_chunks))
-    right = wanted.select("q", "embedding", "width", F.pmod(F.xxhash64("q"), F.lit(n_chunks)).cast("int").alias("chunk"), every("block", n_blocks))
-
-    def run(pair_left, pair_right):
+    scaled, direction = _direction()
+
+    def directed(df: DataFrame) -> DataFrame:
+        return _valid(df).withColumn("scaled", scaled).withColumn("direction", direction).drop("scaled")
+
+    valid = stored(directed(rows), "vectors")
+    # One entry per direction, with the k + 1 smallest of its ids.
+    w = Window.partitionBy("direction").orderBy("vec_id", "embedding")
+    first = valid.dropDuplicates(["vec_id", "direction"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    entries = first.groupBy("direction").agg(F.min(F.struct("vec_id", "embedding")).alias("x"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    entries = stored(entries.select(F.col("x.vec_id").alias("entry"), "ids", "x.embedding", F.size("x.embedding").alias("width")), "entries")
+    asked = stored(directed(queries).withColumnRenamed("vec_id", "query_id"), "asked")
+    wanted = asked.groupBy("direction").agg(F.min(F.struct("query_id", "embedding")).alias("x")).select("direction", F.col("x.query_id").alias("q"), "x.embedding", F.size("x.embedding").alias("width"))
+    wanted = stored(wanted.withColumn("q", F.xxhash64("direction")), "wanted")
+
+    n = entries.count()
+    splits = ()
+    if n > block:
+        # Cells are fitted on a sample of bounded size.
+        some = entries.where(F.pmod(F.xxhash64("entry", F.lit(seed)), F.lit(1_000_000)) < int(min(1.0, SAMPLE / n) * 1_000_000)) if n > SAMPLE else entries
         import numpy as np
-        import pandas as pd
-
-        none = pd.DataFrame({"q": np.empty(0, np.int64), "ids": pd.Series([], dtype=object), "score": np.empty(0)})
-        if not len(pair_left) or not len(pair_right):
-            return none
-        a, b = np.stack(pair_left["embedding"].to_numpy()), np.stack(pair_right["embedding"].to_numpy())
-        found = _search(a, b, k + 1, m, sure, seed)
-        qi, ri = np.array([f[0] for f in found]), np.array([f[1] for f in found])
-        # The measure itself, on the original vectors.
-        x, y = b[qi], a[ri]
-        score = (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
-        return pd.DataFrame({"q": pair_right["q"].to_numpy()[qi], "ids": pair_left["ids"].to_numpy()[ri], "score": score})
-
-    keys = ["block", "chunk", "width"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "q long, ids array<long>, score double")
+
+        points = [r["point"] for r in _pointed(some, m, seed).select("point").limit(2 * SAMPLE).collect()]
+        splits = splits_of(np.array(points), min(CELLS, -(-n // block))) if points else ()
+    index = _pointed(entries, m, seed, splits)
+    sizes = None
+    if n > block:
+        index = stored(index, "index")
+        sizes = index.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("subs"))
+        index = index.join(sizes, ["width", "cell"]).withColumn("sub", F.pmod(F.xxhash64("entry"), F.col("subs")).cast("int")).drop("subs")
+    else:
+        index = index.withColumn("sub", F.lit(0))
+    own = _pointed(wanted, m, seed, splits).withColumn("far", F.lit(None).cast("double"))
+    if splits:
+        own = stored(own, "own")
+    # A query of a width that its cell lacks finds nothing there and visits all cells.
+    found = _found(index, own, k + 1, m, sure, seed)
+    if splits:
+        found = stored(found, "found")
+        last = found.groupBy("q").agg(F.sort_array(F.collect_list("score"), False).alias("c")).select("q", F.get("c", F.lit(k)).alias("c"))
+        bounds = own.join(last, "q", "left").select("q", "embedding", "width", "point", "cell", (F.lit(2.0) - F.lit(2.0) * F.col("c")).alias("far"))
+        found = found.unionByName(_found(index, _visits(index, bounds, m, sure), k + 1, m, sure, seed))
     # An entry stands for its k + 1 smallest ids: enough to fill k places beside the query's own.
     ids = found.select("q", "score", F.explode("ids").alias("vec_id"))
-    top = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    top = Window.partitionBy("q").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
     best = ids.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
-    each = asked.join(wanted.select("embedding", "q"), "embedding").select("query_id", "q").join(best, "q")
-    own = F.filter("best", lambda s: s["vec_id"] != F.col("query_id"))
-    return each.select("query_id", F.posexplode(F.slice(own, 1, k)).alias("i", "s")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
+    each = asked.select("query_id", F.xxhash64("direction").alias("q")).distinct().join(best, "q")
+    mine = F.filter("best", lambda s: s["vec_id"] != F.col("query_id"))
+    return each.select("query_id", F.posexplode(F.slice(mine, 1, k)).alias("i", "s")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
+
+
+def _visits(index: DataFrame, bounds: DataFrame, m: int, sure: float) -> DataFrame:
+    """(q, embedding, width, cell, far): the other cells where something nearer than a query's ``far`` may lie."""
+    ends = [F.min(F.get("point", F.lit(i))).alias(f"l{i}") for i in range(m)] + [F.max(F.get("point", F.lit(i))).alias(f"h{i}") for i in range(m)]
+    # A row per cell and width.
+    boxes = [(r["width"], r["cell"], [r[f"l{i}"] for i in range(m)], [r[f"h{i}"] for i in range(m)]) for r in index.groupBy("width", "cell").agg(*ends).collect()]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        widths, cells, low, high = (np.array(x) for x in zip(*boxes))
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                x = b.slice(i, 256)
+                points = np.stack(x.column("point").to_numpy(zero_copy_only=False))
+                gap = np.maximum(np.maximum(low[None] - points[:, None], points[:, None] - high[None]), 0)
+                near, width = (gap * gap).sum(2), x.column("width").to_numpy()
+                far = x.column("far").to_numpy(zero_copy_only=False).astype(float)
+                far = np.where(np.isnan(far), np.inf, np.maximum(far, 1e-12))
+                free = np.minimum(m, np.maximum(2, width // 2 * 2))
+                go = np.zeros(near.shape, bool)
+                for f in np.unique(free):
+                    at = free == f
+                    with np.errstate(invalid="ignore"):
+                        go[at] = (near[at] <= 1e-9) | ~np.isfinite(far[at])[:, None] | (chi_square(near[at] / far[at][:, None], int(f)) < sure)
+                go &= (widths[None] == width[:, None]) & (cells[None] != x.column("cell").to_numpy()[:, None])
+                q, c = np.nonzero(go)
+                q_ = pa.array(q)
+                yield pa.RecordBatch.from_arrays([x.column("q").take(q_), x.column("embedding").take(q_), x.column("width").take(q_), pa.array(cells[c].astype(np.int32)), pa.array(np.where(np.isinf(far[q]), np.nan, far[q]))], ["q", "embedding", "width", "cell", "far"])
+
+    return bounds.mapInArrow(run, "q long, embedding array<double>, width int, cell int, far double")
