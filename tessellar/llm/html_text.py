@@ -40,7 +40,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Their content is not markup.
 _RAW = frozenset("script style textarea title noscript iframe xmp noframes".split())
 #: Never main text, with all below.
-_OUT = frozenset("head script style noscript iframe nav header footer aside form button select option textarea input label fieldset template svg canvas object audio video menu dialog title".split())
+_OUT = frozenset("head script style noscript iframe nav header footer aside form button select option textarea input template svg canvas object menu dialog title".split())
 _BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Blocks of text, never the region of a page, and the elements that divide a page.
 _LEAF = frozenset("p li td th blockquote pre h1 h2 h3 h4 h5 h6 dd dt".split())
@@ -48,7 +48,12 @@ _SECTION = frozenset("article section div main center".split())
 #: What a start tag ends when it is open: HTML's implied ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _CLOSES_P = _BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot"}
-_WORDS = "ad ads adv advert adverts advertisement advertising advertorial alert banner banners breadcrumb breadcrumbs byline caption-ads comment comments commentlist consent cookie cookies disqus donate footer gdpr header hidden legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promoted promotion recommended related reply replies respond sharing share sharebar sidebar sidenav signup skip social sponsor sponsored sponsors subscribe subscription survey syndication tags teaser toc toolbar widget widgets".split()
+#: What the class or id of a menu, header, footer, sidebar, notice, advert, form or reader's comment says; nothing else is left out by name.
+_WORDS = (
+    "menu nav navbar navigation breadcrumb breadcrumbs pager pagination header masthead footer sidebar sidenav related recommended share sharing social "
+    "notice notices notification alert consent cookie cookies gdpr popup modal hidden ad ads adv advert adverts advertisement advertising banner banners promo promoted "
+    "sponsor sponsored sponsors newsletter signup subscribe subscription comment comments commentlist disqus reply replies respond"
+).split()
 _JUNK = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_WORDS) + r")(?=$|[\s_-]|\d)")
 _JUNK_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog toolbar note".split())
 _MARKS = re.compile(r"[.,;:!?…。、，！？；：¿¡]")

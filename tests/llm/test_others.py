@@ -71,6 +71,23 @@ def test_main_text_is_chosen_by_the_ratios():
     assert read(f"<article><h1>Head</h1>{ps}</article><div><p>Short</p></div>") == ["Head", *long]
 
 
+def test_only_what_is_named_is_left_out():
+    long = [f"Paragraph {k}, which is long enough, tells of this; and of that, too. It goes on, and on, for a while." for k in range(4)]
+    ps = "".join(f"<p>{t}</p>" for t in long)
+    kept = "".join(f'<p class="{c}">The {c}, which belongs to it.</p>' for c in ("byline", "legal", "toc", "survey", "tags", "login", "video"))
+    lost = "".join(f'<div class="{c}"><p>Some {c}, a long one; with marks, and more of them. Yes.</p></div>' for c in ("ad", "top-menu", "cookieNotice", "sidebar", "comments", "newsletter"))
+    got = html_text.main_blocks(html_text.blocks_of(f"<body><div>{kept}{ps}{lost}</div></body>"))
+    assert got == [*(f"The {c}, which belongs to it." for c in ("byline", "legal", "toc", "survey", "tags", "login", "video")), *long]
+
+
+def test_a_page_without_marks_or_with_one_very_long_block(spark):
+    words = "word " * 200_000
+    rows = [(1, "u", f"<body><div><p>{words}</p></div></body>", "x", 1), (2, "u", "<p>one</p><p>two</p>", "y", 2)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    assert [r.n_chars for r in html_text.extract(df).collect()] == [len(words) - 1, 7]
+    assert html_text.extract(df.where("false")).count() == 0
+
+
 def test_urls(spark):
     rules = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("block", "", "/")]
     urls = ["http://A.Example.com/en/71?x", "https://com/en/", "http://xexample.com/en/8#a", "http://example.comx/en/7", "nothing", None, "://", "http://best-pills.org/x", "http://x.org?/en/"]
@@ -171,6 +188,33 @@ def test_neighbours(spark):
     assert found.count() == 5 * table.where("vec_id % 50 = 0").count()
 
 
+def test_neighbours_of_multiples_are_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal(16)
+    rows = [(i, (base * (i + 1) * 0.37).tolist(), "x") for i in range(400)] + [(1000 + i, rng.standard_normal(16).tolist(), "y") for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, direction string")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id in (0, 50, 399)"), k=6).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        assert abs(r.score - 1) < 1e-9
+    assert {q: [v for _, v in sorted(x)] for q, x in got.items()} == {0: [1, 2, 3, 4, 5, 6], 50: [0, 1, 2, 3, 4, 5], 399: [0, 1, 2, 3, 4, 5]}
+
+
+def test_neighbours_in_many_cells(spark):
+    """Clusters over more cells than one: a query reaches the cells where its nearest lie."""
+    rng = np.random.default_rng(6)
+    middles = rng.standard_normal((40, 16)) * 3
+    rows = [(i, (middles[i % 40] + rng.standard_normal(16)).tolist()) for i in range(1600)] + [(5000, [1.0, 2.0]), (5050, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), block=128).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    want = brute_nearest(rows)
+    assert set(got) == set(want) and got[5050] == {1: 5000}
+    hits = [len(set(v.values()) & set(want[q])) / len(want[q]) for q, v in got.items()]
+    assert sum(hits) / len(hits) >= 0.9
+
+
 def test_chi_square():
     from math import exp
 
@@ -189,3 +233,52 @@ def test_pipeline(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] > counts[0] / 2
     rows = pipe.run(spark, SF).collect()
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_equal_brute_force(spark, documents, tmp_path):
+    """Lines, duplicates and leaks by row: ids that repeat or are null, clashing columns, equal rows."""
+    import random
+    from collections import Counter
+
+    from test_duplicates import brute_lines
+
+    from tessellar.llm.shingles import jaccard, shingle_set
+
+    pipe = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    some = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    leak, copy, other = some(30), some(60), some(40)
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [
+        (1, copy), (2, copy), (None, copy), (2, other), (3, f"{some(20)} {leak} {some(9)}"), (3, some(35)), (None, f"{leak}"), (None, some(33)), (4, ""), (4, ""), (5, None),
+        (6, some(25)), (7, copy + " x"), (8, other), (8, other),
+    ]
+    rows += [(20 + i, f"{some(12)}\nA line of some length that is in many.\n{some(9)}") for i in range(5)]
+    table = [(i, t, f"s{k % 3}", k, "row", "gone") for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string, id int, row string, n_lines string")
+
+    lines = pipe.drop_lines(spark, docs.drop("n_lines").withColumn("n_chars", F.length("text").cast("long")), str(tmp_path))
+    want = brute_lines(rows)
+    assert Counter((r.doc_id, r.text) for r in lines.collect()) == Counter({(d, t): n for (d, t, _, _), n in want.items()})
+
+    kept = pipe.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    sets = [shingle_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if jaccard(sets[a], sets[b]) >= 0.8:
+                group = [group[b] if g == group[a] else g for g in group]
+    best = {}
+    for k, (i, t) in enumerate(rows):
+        if len(sets[k]):
+            best[group[k]] = min(best.get(group[k], (True, 0)), (i is None, i or 0)) if group[k] in best else (i is None, i or 0)
+    ids = Counter((None if n else i) for n, i in best.values()) + Counter(i for k, (i, _) in enumerate(rows) if not len(sets[k]))
+    assert Counter(r.doc_id for r in kept.collect()) == ids
+
+    clean = pipe.drop_benchmark_leaks(spark, docs, str(tmp_path))
+    assert clean.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter((i, t) for i, t in rows if leak not in (t or ""))
+    for stage in (pipe.drop_lines, pipe.drop_near_duplicates, pipe.drop_benchmark_leaks):
+        none = docs.drop("n_lines").withColumn("n_chars", F.lit(0).cast("long")).where("false")
+        assert stage(spark, none, str(tmp_path)).count() == 0
