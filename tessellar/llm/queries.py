@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_text, line_dedup, near_duplicates, neighbours, packing, passages, quality, token_files, url_filter
+from .common import spread
 
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -17,7 +18,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tokenizer_path(name: str) -> str:

@@ -167,3 +167,55 @@ def test_short_edited_copies_are_repeated(spark):
     # A passage of one text and its edits share a class; windows of four functions may miss one pair in some hundreds.
     got = {r.doc_id for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert len(got) >= 0.98 * len(rows)
+
+
+def test_recall_of_edited_passages_by_length(spark):
+    """Passages with as many changed words as the similarity allows, inside unlike texts: nine in ten are found at every length."""
+    rng = np.random.default_rng(12)
+    word = lambda: f"p{rng.integers(10**9)}"
+    rows, pairs = [], []
+    for n in (50, 55, 60, 80, 120):
+        for k in range(40):
+            w = [word() for _ in range(n)]
+            x, gone = list(w), []
+            for at in rng.permutation(np.arange(2, n - 2)).tolist():
+                y = list(x)
+                y[at] = word()
+                if jaccard(shingle_set(" ".join(w)), shingle_set(" ".join(y))) >= 0.8:
+                    x, gone = y, [*gone, at]
+            assert gone
+            for text in (w, x):
+                before = [word() for _ in range(30)]
+                rows.append((len(rows), " ".join([*before, *text, *[word() for _ in range(30)]])))
+            pairs.append((n, len(rows) - 2))
+    got = defaultdict(list)
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append(r)
+    found = Counter()
+    for n, i in pairs:
+        a, b = got.get(i, []), got.get(i + 1, [])
+        found[n] += any(x.class_doc == y.class_doc and x.start_word < 30 + n and x.start_word + x.n_words > 30 for x in a for y in b)
+    print({n: found[n] / 40 for n in found})
+    assert all(found[n] >= 36 for n in (50, 55, 60, 80, 120)), found
+
+
+def test_passages_of_long_and_repetitive_texts(spark):
+    rng = np.random.default_rng(13)
+    long = [f"w{rng.integers(10**6)}" for _ in range(30_000)]
+    near = [f"x{i}" if i % 997 == 0 else w for i, w in enumerate(long)]
+    rows = [(1, " ".join(long), 0), (2, " ".join(near), 0), (3, "a " * 300, 0), (4, "a " * 400, 0), (5, "b c " * 100, 0), (5, "b c " * 100, 0), (6, "short " * 49, 0), (7, None, 0), (None, "a " * 300, 0)]
+    got = defaultdict(list)
+    for r in passages.repeated(spark.createDataFrame(rows, "doc_id long, text string, key int")).collect():
+        got[r.doc_id].append((r.start_word, r.n_words, r.class_doc))
+    assert sum(n for _, n, _ in got[1]) > 29_000 and {c for _, _, c in got[1]} == {1} == {c for _, _, c in got[2]}
+    # Words that repeat: one shingle and one passage; a text's copies under one id are no repetition.
+    assert {c for _, _, c in got[3]} == {3} == {c for _, _, c in got[4]} and not {5, 6, 7} & set(got)
+
+
+@pytest.mark.parametrize("few, many", [(2, 4), (2, 10**6)])
+def test_large_keys_lose_no_class(spark, documents, monkeypatch, few, many):
+    """With small bounds every key is large: its classes are those of all pairs."""
+    monkeypatch.setattr(passages, "MANY", many)
+    want = {tuple(r) for r in passages.repeated(documents, few=10**6).collect()}
+    got = {tuple(r) for r in passages.repeated(documents, few=few).collect()}
+    assert {r[0] for r in got} == {r[0] for r in want} and {(r[0], r[3]) for r in got} == {(r[0], r[3]) for r in want}

@@ -38,6 +38,7 @@ def test_quality_edges(spark, documents):
     rows = quality.classify(documents, labels).collect()
     assert len(rows) == documents.count() and all(0 <= r.score <= 1 for r in rows)
     assert quality.accepted(documents, labels.where("false")).columns == documents.columns
+    assert quality.classify(documents.where("false"), labels).count() == 0
     tree = "DecisionTree\n  If (feature 0 <= 1.5)\n   If (feature 2 <= 0.5)\n    Predict: 0.0\n   Else (feature 2 > 0.5)\n    Predict: 1.0\n  Else (feature 0 > 1.5)\n   Predict: 1.0\n"
     assert quality.tree_paths(tree) == {(("n_words", False, 1.5),), (("n_words", True, 1.5),), (("n_words", False, 1.5), ("upper", False, 0.5)), (("n_words", False, 1.5), ("upper", True, 0.5))}
 
@@ -102,6 +103,21 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.where("false"), rules).count() == 0
 
 
+def test_long_and_repeated_urls(spark):
+    rules = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "com", "/en/a")]
+    long = "http://x.com/en/b" + "a/" * 100_000
+    rows = [(1, long), (1, long), (2, "http://x.com/en/a"), (2, "http://x.com/en/a")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert sorted((r.page_id, r.verdict, len(r.path)) for r in got) == [(1, "block", 200_005), (1, "block", 200_005), (2, "allow", 5), (2, "allow", 5)]
+
+
+def test_overlap_ties_go_to_the_leftmost(spark):
+    item = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(["x", *item, "y", *item])), (1, " ".join(["x", *item, "y", *item])), (None, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (1, " ".join(item[:15]))], "item_id long, text string")
+    assert sorted((tuple(r) for r in decontaminate.overlaps(docs, bench).collect()), key=str) == [(1, 1, 1, 20, 20), (None, 1, 0, 20, 20)]
+
+
 def test_overlaps(spark, documents):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
     near = list(item)
