@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessellar.storage import spread
+
 #: Derived table to SQL; {name} stands for a supplied table.
 DERIVATIONS = {
     "memories": """select doc_id as id, case when doc_id % 5 = 0 then 'archive' else 'global' end as namespace, concat('doc-', cast(doc_id as varchar(20))) as name,
@@ -27,7 +29,7 @@ DERIVATIONS = {
  union all select 'global', cast(3000000+l_suppkey as bigint), cast(5000000+l_partkey as bigint), 'uses', round(least(cast(1.0 as double), sum(l_quantity)/150),4) from {lineitem} where l_partkey % 10 = 0 group by l_suppkey, l_partkey""",
     "memory_entities": """select doc_id as memory_id, cast(2000000 + doc_id % 25 as bigint) as entity_id from {documents} where doc_id % 4 <> 3
  union select doc_id, cast(5000000 + (select min(p_partkey) from {part}) + doc_id % 200 as bigint) from {documents} where doc_id % 3 = 0""",
-    "entity_embeddings": "select cast(2000000 + vec_id % 25 as bigint) as entity_id, embedding from {embeddings} where vec_id < 25",
+    "entity_embeddings": "select cast(case when vec_id < 25 then 2000000 + vec_id else 4000000 + vec_id end as bigint) as entity_id, embedding from {embeddings}",
     "queue": """select event_id as id, 'global' as namespace, case user_id % 3 when 0 then 'ReEmbed' when 1 then 'MemoryBindings' else 'EntityConnect' end as operation,
  concat('item-', cast(event_id as varchar(20))) as item_key, case event_type when 'signup' then 'done' when 'purchase' then 'processing' when 'error' then 'dead' else 'pending' end as status,
  case when value > 100 then 1 else 0 end as priority, cast(event_id % 10 as int) as attempt, cast(1700000000 + event_id*30 as bigint) as claimed_at from {events}""",
@@ -45,7 +47,9 @@ class Corpus:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._read:
-            self._read[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+            # Texts are costly row by row.
+            self._read[name] = spread(df) if name == "documents" else df
         return self._read[name]
 
     def __getattr__(self, name: str) -> DataFrame:

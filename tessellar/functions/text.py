@@ -267,6 +267,12 @@ def token_estimate(c: Column) -> Column:
     return F.ceil(F.size(words) * F.lit(1.5))
 
 
+def passage_tokens(c: Column) -> Column:
+    """The estimate for a text as it is embedded: with the word ``passage:`` before it."""
+    words = F.array_remove(F.split(F.coalesce(c, F.lit("")), r"\s+"), "")
+    return F.ceil((F.size(words) + 1) * F.lit(1.5))
+
+
 def score_from_distance(d: Column) -> Column:
     return F.when(F.isnan(d), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - d)))
 

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import text as X
 from tessellar.operators import scans
+from tessellar.storage import snapshot
 
 K1, B = 1.2, 0.75
 
 
 @dataclass(frozen=True)
 class Match:
-    """Prefix terms that must all occur, or any of them; with a phrase, whose tokens in a row also match."""
+    """Prefix terms that must all occur, or any of them, beside a phrase of them; whose rows hold a term, so it finds no more."""
 
     terms: tuple[str, ...]
     every: bool
@@ -46,11 +47,11 @@ def document_tokens(memories: DataFrame) -> DataFrame:
     return scans.live(memories).select("id", "namespace", "type", X.tokens(joined).alias("toks"))
 
 
-def bm25(memories: DataFrame, query: str, limit: int, namespace: str | None = None, kind: str | None = None) -> DataFrame:
-    """(id, score), best first, ties by id.
+def bm25(memories: DataFrame, query: str, limit: int, namespaces: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
+    """(id, score), best first, ties by id; of some namespaces, or of all.
 
-    Corpus statistics are over all live memories.  A row's term counts stay in its row, so
-    the one shuffle is that of the totals: nothing but hits is ever sorted.
+    Corpus statistics are over all live memories.  Each text is read and tokenized once: its term counts
+    are written, a few numbers a row, and serve the totals and the hits.
     """
     match = parse_query(query)
     terms = list(dict.fromkeys(_term(t) for t in match.terms))
@@ -62,18 +63,18 @@ def bm25(memories: DataFrame, query: str, limit: int, namespace: str | None = No
         return F.size(F.filter("toks", lambda w: w.startswith(term))).cast("double")
 
     tf = [count_of(t) for t in terms]
-    counted = docs.select("id", "namespace", "type", F.size("toks").cast("double").alias("dl"), F.array(*tf).alias("tf"), "toks")
+    counted = snapshot(docs.select("id", "namespace", "type", F.size("toks").cast("double").alias("dl"), F.array(*tf).alias("tf")), "counted")
     # Totals are one row; it is joined, so the plan stays one and lazy.
     totals = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0).cast("double") for i in range(len(terms))]).alias("df"))
     hit = [F.get("tf", F.lit(i)) > 0 for i in range(len(terms))]
     cond = hit[0]
     for h in hit[1:]:
         cond = (cond & h) if match.every else (cond | h)
-    if namespace is not None:
-        cond = cond & (F.col("namespace") == namespace)
+    if namespaces:
+        cond = cond & F.col("namespace").isin(*namespaces)
     if kind is not None:
         cond = cond & (F.col("type") == kind)
-    hits = counted.where(cond).drop("toks").crossJoin(F.broadcast(totals))
+    hits = counted.where(cond).crossJoin(F.broadcast(totals))
     score = F.lit(0.0)
     for i in range(len(terms)):
         score = score + _part(F.get("tf", F.lit(i)), F.get("df", F.lit(i)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import text as X
 from tessellar.operators import graph, scans
+from tessellar.storage import snapshot
 
 
 def merge_by_key(base: DataFrame, new: DataFrame, keys: list[str], replace: list[str] | None = None, keep_old: list[str] = (), flag: str | None = None) -> DataFrame:
@@ -37,24 +38,38 @@ def merge_by_key(base: DataFrame, new: DataFrame, keys: list[str], replace: list
     return met.select(*out)
 
 
-def append_versions(versions: DataFrame, memories: DataFrame, reason: str, at: int) -> DataFrame:
-    """The version log with one more row for each given memory."""
+def append_versions(versions: DataFrame, memories: DataFrame, reason: str | Column, at: int) -> DataFrame:
+    """The version log with one more row for each given memory; the reason may be a column of theirs."""
     top = versions.groupBy("memory_id").agg(F.max("version").alias("_top"))
-    new = memories.select(F.col("id").alias("memory_id"), "name", "body").join(top, "memory_id", "left")
-    row = new.select("memory_id", (F.coalesce("_top", F.lit(0)) + 1).cast(versions.schema["version"].dataType).alias("version"), "name", "body", F.lit(reason).alias("change_reason"), F.lit(at).cast("bigint").alias("created_at"))
+    reason = F.lit(reason) if isinstance(reason, str) else reason
+    new = memories.select(F.col("id").alias("memory_id"), "name", "body", reason.alias("change_reason")).join(top, "memory_id", "left")
+    row = new.select("memory_id", (F.coalesce("_top", F.lit(0)) + 1).cast(versions.schema["version"].dataType).alias("version"), "name", "body", "change_reason", F.lit(at).cast("bigint").alias("created_at"))
     return versions.unionByName(row, allowMissingColumns=True)
 
 
+def numbered(rows: DataFrame, order: list[str], column: str) -> DataFrame:
+    """``rows`` with their place (from 1) in the order: ranges are counted apart, so no task sees more than its own."""
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    laid = snapshot(parts.withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "numbered")
+    # A row per partition.
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return laid.join(F.broadcast(before), "_part").withColumn(column, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
 def remember(memories: DataFrame, versions: DataFrame, new: DataFrame, at: int) -> tuple[DataFrame, DataFrame]:
-    """Insert or force-merge memories (namespace, name, ...), and log a version of each: (memories, versions)."""
-    top = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    w = Window.orderBy("namespace", "name")
+    """Insert or force-merge memories (namespace, name, ...), and log a version of each: (memories, versions).
+
+    New ids follow the largest, in order of namespace and name; a new memory's version is a create, a known one's an edit.
+    """
     known = memories.select("namespace", "name", F.col("id").alias("_id"))
-    rows = new.join(known, ["namespace", "name"], "left").crossJoin(top)
-    fresh = rows.withColumn("id", F.coalesce("_id", F.col("_top") + F.row_number().over(w))).drop("_id", "_top").withColumn("updated_at", F.lit(at).cast("bigint")).withColumn("deleted_at", F.lit(None).cast("bigint"))
-    merged = merge_by_key(memories, fresh.withColumn("created_at", F.lit(at).cast("bigint")), ["namespace", "name"], replace=[c for c in fresh.columns if c not in ("namespace", "name", "id", "created_at")])
-    logged = append_versions(versions, fresh, "edit", at)
-    return merged, logged
+    rows = new.join(known, ["namespace", "name"], "left")
+    top = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    fresh = numbered(rows.where("_id is null"), ["namespace", "name"], "_n").crossJoin(F.broadcast(top)).withColumn("_id", F.col("_top") + F.col("_n")).drop("_top", "_n").withColumn("_reason", F.lit("create"))
+    both = fresh.unionByName(rows.where("_id is not null").withColumn("_reason", F.lit("edit"))).withColumnRenamed("_id", "id")
+    both = both.withColumns({"updated_at": F.lit(at).cast("bigint"), "deleted_at": F.lit(None).cast("bigint")})
+    merged = merge_by_key(memories, both.drop("_reason").withColumn("created_at", F.lit(at).cast("bigint")), ["namespace", "name"], replace=[c for c in both.columns if c not in ("namespace", "name", "id", "created_at", "_reason")])
+    return merged, append_versions(versions, both, F.col("_reason"), at)
 
 
 def forget(memories: DataFrame, ids: DataFrame, at: int) -> DataFrame:
@@ -160,6 +175,19 @@ def normalize_entities(entities: DataFrame) -> DataFrame:
     return named.join(low, ["namespace", "new_name"]).select("id", "name", "new_name", action.alias("action"), "survivor")
 
 
+def normalized(entities: DataFrame, edges: DataFrame, bridge: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Names normalised and colliding entities merged into the smallest id: (entities, edges, bridges), as ``normalize_entities`` says."""
+    plan = snapshot(normalize_entities(entities), "plan")
+    to = plan.select(F.col("id").alias("_from"), F.col("survivor").alias("_to"))
+
+    def moved(df: DataFrame, column: str) -> DataFrame:
+        return df.join(to, df[column] == to["_from"], "left").withColumn(column, F.coalesce("_to", column)).drop("_from", "_to")
+
+    kept = entities.join(plan.where("action <> 'merge'").select("id", "new_name"), "id").withColumn("name", F.col("new_name")).select(*entities.columns)
+    retargeted = moved(moved(edges, "source_id"), "target_id").where("source_id <> target_id").select(*edges.columns)
+    return kept, dedupe_edges(retargeted), moved(bridge, "entity_id").select(*bridge.columns).distinct()
+
+
 def reclassify(entities: DataFrame, kind_from: str | None, kind_to: str, names: list[str] | None = None) -> DataFrame:
     hit = F.lit(True)
     if kind_from:

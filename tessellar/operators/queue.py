@@ -112,6 +112,20 @@ def reset_operation(queue: DataFrame, operation: str, state: str = "processing")
     return queue.withColumn("status", F.when(hit, "pending").otherwise(F.col("status")))
 
 
+def listed(queue: DataFrame, state: str, operation: str | None = None, limit: int = 100) -> DataFrame:
+    """The rows of a state, dead or skipped ones for instance, by id."""
+    rows = queue.where(F.col("status") == state)
+    return (rows.where(F.col("operation") == operation) if operation else rows).orderBy("id").limit(limit)
+
+
+def requeue(queue: DataFrame, state: str = "dead", operation: str | None = None) -> DataFrame:
+    """Rows of a state are pending again, with their attempts forgotten."""
+    hit = F.col("status") == state
+    if operation:
+        hit = hit & (F.col("operation") == operation)
+    return queue.withColumns({"status": F.when(hit, "pending").otherwise(F.col("status")), "attempt": F.when(hit, 0).otherwise(F.col("attempt"))})
+
+
 def reconcile(queue: DataFrame, satisfied: DataFrame) -> DataFrame:
     """Pending re-embed rows whose vector exists (item_key) are done."""
     met = queue.join(satisfied.select("item_key", F.lit(True).alias("_ok")).distinct(), "item_key", "left")

@@ -27,8 +27,7 @@ def hybrid(memories: DataFrame, embeddings: DataFrame, query_vector: list[float]
     if weight_fts == 0:
         found = near.select("id", "rank").limit(0)
     else:
-        one = namespaces[0] if len(namespaces) == 1 else None
-        found = fusion.ranked(fulltext.bm25(memories, query, 2 * k, one, kind), F.desc("score"), "id").select("id", "rank")
+        found = fusion.ranked(fulltext.bm25(memories, query, 2 * k, namespaces, kind), F.desc("score"), "id").select("id", "rank")
     fused = fusion.fuse(near.select("id", "rank"), found, k, weight_vec, weight_fts, rrf_k)
     rows = fused.join(scans.live(memories).select("id", "name", F.substring("body", 1, SNIPPET).alias("snippet")), "id")
     return rows.select("id", "name", F.round("score", 9).alias("score"), F.round("normalized_score", 9).alias("normalized_score"), "vec_rank", "fts_rank", "source", "snippet").orderBy(F.desc("score"), "id")

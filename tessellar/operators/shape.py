@@ -96,6 +96,11 @@ def byte_budget(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return sized.withColumn("_s", F.sum("_b").over(w)).where(F.col("_s") + 1 <= limit).drop("_b", "_s")
 
 
+def count_only(df: DataFrame, filters: list[str] = ()) -> DataFrame:
+    """One row: how many rows pass the filters."""
+    return shape(df, filters).agg(F.count(F.lit(1)).alias("n"))
+
+
 def meta(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: rows in, out and dropped."""
     a, b = before.agg(F.count(F.lit(1)).alias("input")), after.agg(F.count(F.lit(1)).alias("output"))

@@ -61,10 +61,11 @@ def memory_knn(embeddings: DataFrame, memories: DataFrame, query: list[float], k
     from tessellar.operators import scans
 
     own = scans.of_type(scans.in_namespace(memories, *namespaces), kind).select("id", "deleted_at")
-    joined = embeddings.withColumnRenamed("memory_id", "id").join(own if live_after_k else scans.live(own), "id")
-    if not live_after_k:
-        return nearest(joined, query, k)
-    return nearest(joined, query, k).join(scans.live(own).select("id"), "id", "left_semi")
+    # Distances first: what meets the memories is two numbers a row, not the vectors.
+    near = of_width(embeddings, len(query)).select(F.col("memory_id").alias("id"), (F.lit(1.0) - cosine_to(F.col("embedding"), query)).alias("distance"))
+    if live_after_k:
+        return near.join(own.select("id"), "id", "left_semi").orderBy("distance", "id").limit(k).join(scans.live(own).select("id"), "id", "left_semi")
+    return near.join(scans.live(own).select("id"), "id", "left_semi").orderBy("distance", "id").limit(k)
 
 
 def entity_knn(embeddings: DataFrame, query: list[float], k: int = 5) -> DataFrame:

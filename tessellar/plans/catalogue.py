@@ -380,10 +380,10 @@ def merge_entities(c):
     return maintain.merge_entities(c.entities, c.relationships, c.memory_entities, [2000001, 2000002], 2000000)[1]
 
 
-@plan("with n as (select id, namespace, replace(upper(name), '-', ' ') as name from entities where id < 3000000 union all select id + 9000000, namespace, name from entities where id < 2000000), k as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as new_name from n) select id, name, new_name, min(id) over w as survivor, case when id <> min(id) over w then 'merge' when name <> new_name then 'rename' else 'keep' end as action from k window w as (partition by namespace, new_name)")
+@plan("with n as (select id, namespace, replace(upper(name), '-', ' ') as name from entities union all select id + 9000000, namespace, name from entities where type = 'location'), k as (select *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') as new_name from n) select id, name, new_name, min(id) over w as survivor, case when id <> min(id) over w then 'merge' when name <> new_name then 'rename' else 'keep' end as action from k window w as (partition by namespace, new_name)")
 def normalize_preview(c):
-    loud = c.entities.where("id < 3000000").select("id", "namespace", F.replace(F.upper("name"), F.lit("-"), F.lit(" ")).alias("name"))
-    again = c.entities.where("id < 2000000").select((F.col("id") + 9000000).alias("id"), "namespace", "name")
+    loud = c.entities.select("id", "namespace", F.replace(F.upper("name"), F.lit("-"), F.lit(" ")).alias("name"))
+    again = c.entities.where("type = 'location'").select((F.col("id") + 9000000).alias("id"), "namespace", "name")
     return maintain.normalize_entities(loud.unionByName(again))
 
 
@@ -502,10 +502,10 @@ def circuit_breaker(c):
 # Text.
 
 
-@plan("with p as (select a.id, substr(a.body, 1, 120) as x, substr(b.body, 1, 110) as y from memories a join memories b on b.id = a.id + 1 where a.id < 200), t as (select id, case when length(x) = 0 then [] else list_distinct(list_transform(range(1, length(x) + 1), lambda i: substr(chr(1) || x || chr(1), i, 3))) end as tx, case when length(y) = 0 then [] else list_distinct(list_transform(range(1, length(y) + 1), lambda i: substr(chr(1) || y || chr(1), i, 3))) end as ty from p) select id, round(len(list_intersect(tx, ty)) * 1.0::double / len(list_distinct(list_concat(tx, ty))), 6) as similarity, round(len(list_intersect(tx, ty)) * 1.0::double / len(tx), 6) as coverage from t")
+@plan("with p as (select a.id, a.body as x, b.body as y from memories a join memories b on b.id = a.id + 1), t as (select id, case when length(x) = 0 then [] else list_distinct(list_transform(range(1, length(x) + 1), lambda i: substr(chr(1) || x || chr(1), i, 3))) end as tx, case when length(y) = 0 then [] else list_distinct(list_transform(range(1, length(y) + 1), lambda i: substr(chr(1) || y || chr(1), i, 3))) end as ty from p) select id, round(len(list_intersect(tx, ty)) * 1.0::double / len(list_distinct(list_concat(tx, ty))), 6) as similarity, round(len(list_intersect(tx, ty)) * 1.0::double / len(tx), 6) as coverage from t")
 def trigram_jaccard(c):
-    a = c.memories.where("id < 200").select("id", F.substring("body", 1, 120).alias("x"))
-    b = c.memories.select((F.col("id") - 1).alias("id"), F.substring("body", 1, 110).alias("y"))
+    a = c.memories.select("id", F.col("body").alias("x"))
+    b = c.memories.select((F.col("id") - 1).alias("id"), F.col("body").alias("y"))
     return a.join(b, "id").select("id", F.round(X.trigram_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"), F.round(X.grounding_coverage(F.col("x"), F.col("y")), 6).alias("coverage"))
 
 
@@ -559,3 +559,7 @@ def shape_pipeline(c):
 @plan("with p as (select id, name from memories order by id limit 100), s as (select *, sum(strlen('{\"id\":' || id || ',\"name\":\"' || name || '\"}') + 1) over (order by id) as s from p) select id, name from s where s + 1 <= 1000")
 def byte_budget(c):
     return shape.byte_budget(c.memories.select("id", "name").orderBy("id").limit(100), [F.col("id")], 1000)
+
+
+# More queries register themselves.
+from tessellar.plans import writes  # noqa: E402, F401

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessellar import schema
 from tessellar.functions import text as X
+from tessellar.storage import snapshot
 
 
 def text_tree(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True) -> DataFrame:
@@ -18,17 +19,46 @@ def text_tree(spark: SparkSession, folder: str, pattern: str = "*.md", recursive
 
 
 def plan_ingest(files: DataFrame, taken: DataFrame | None = None, prefix: str = "", max_len: int = 60) -> DataFrame:
-    """(path, name, description, body): names from file stems, made unique by suffixes in order of paths."""
+    """(path, name, description, body): names from file stems, made unique by suffixes in order of paths.
+
+    A name is the base or the first ``base-1``, ``base-2`` ... that neither a taken name nor an earlier file has.
+    """
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
     named = files.withColumn("base", F.concat(F.lit(prefix), X.kebab_name(stem, max_len - len(prefix)))).withColumn("description", X.heuristic_description(F.col("body"), stem))
-    if taken is not None:
-        # Names in use count as earlier files of the same base.
-        used = taken.select(F.regexp_replace("name", r"-\d+$", "").alias("base")).groupBy("base").agg(F.count(F.lit(1)).alias("used"))
-        named = named.join(used, "base", "left")
-    else:
-        named = named.withColumn("used", F.lit(0))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("path")) - 1 + F.coalesce("used", F.lit(0))
-    return named.withColumn("_n", n).select("path", F.when(F.col("_n") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("_n").cast("string"))).alias("name"), "description", "body")
+    names = unique_names(named.select("path", "base"), taken.select("name") if taken is not None else None)
+    return named.join(names, "path").select("path", "name", "description", "body")
+
+
+def unique_names(files: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """(path, name) of files (path, base).
+
+    In rounds: the r-th open file of a base proposes its r-th free suffix, and the first path that proposes a name has it.
+    Where another base took a name, that file and the later ones of like bases (``a``, ``a-1``, ``a-1-2``) propose again.
+    """
+    todo = snapshot(files.withColumn("family", F.regexp_replace("base", r"(-\d+)+$", "")), "names")
+    used = snapshot(taken.distinct(), "names") if taken is not None else None
+    out = None
+    while True:
+        rank = F.row_number().over(Window.partitionBy("base").orderBy("path")) - 1
+        ranked = todo.withColumn("r", rank.cast("bigint"))
+        if used is not None:
+            # A used name bars its own base, and suffix N of the base before ``-N``.
+            cut = used.where(F.col("name").rlike(r"-[1-9][0-9]{0,8}$")).select(F.regexp_replace("name", r"-\d+$", "").alias("base"), F.regexp_extract("name", r"-(\d+)$", 1).cast("bigint").alias("n"))
+            bars = used.select(F.col("name").alias("base"), F.lit(0).cast("bigint").alias("n")).unionByName(cut).groupBy("base").agg(F.sort_array(F.collect_set("n")).alias("bars"))
+            ranked = ranked.join(bars, "base", "left")
+            # The r-th number that is not barred: each barred one at or before it moves it on.
+            ranked = ranked.withColumn("r", F.aggregate(F.coalesce("bars", F.array().cast("array<bigint>")), F.col("r"), lambda k, b: F.when(b <= k, k + 1).otherwise(k))).drop("bars")
+        proposed = ranked.withColumn("name", F.when(F.col("r") == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("r").cast("string"))))
+        first = proposed.groupBy("name").agg(F.min("path").alias("path"))
+        lost = proposed.join(first, ["name", "path"], "left_anti").groupBy("family").agg(F.min("path").alias("before"))
+        won = proposed.join(first, ["name", "path"]).join(lost, "family", "left").where(F.col("before").isNull() | (F.col("path") < F.col("before")))
+        won = snapshot(won.select("path", "name"), "names")
+        out = won if out is None else out.unionByName(won)
+        todo = snapshot(todo.join(won, "path", "left_anti"), "names")
+        if todo.isEmpty():
+            return out
+        fresh = won.select("name")
+        used = fresh if used is None else used.unionByName(fresh)
 
 
 def batch_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -59,6 +89,16 @@ def export_ndjson(memories: DataFrame, path: str, limit: int = 100_000) -> None:
     scans.live(memories).orderBy("name", "id").limit(limit).write.mode("overwrite").json(path)
 
 
+def export_lines(memories: DataFrame, limit: int | None = None) -> DataFrame:
+    """(value): live memories as lines of NDJSON and, as one line more, a summary with their number, for a text writer."""
+    from tessellar.operators import scans
+
+    rows = scans.live(memories).select("name", "type", "body")
+    rows = rows if limit is None else rows.orderBy("name").limit(limit)
+    total = rows.agg(F.count(F.lit(1)).alias("exported")).select(F.to_json(F.struct(F.lit("summary").alias("kind"), "exported")).alias("value"))
+    return rows.select(F.to_json(F.struct("name", "type", "body")).alias("value")).unionByName(total)
+
+
 def graph_snapshot(entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges with both names, and one row that counts those whose endpoint is missing."""
     n = entities.select("id", "name")

@@ -11,8 +11,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset, a local folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="spark-"))
+    """A new path under ``spark.checkpoint.dir``; only where that is unset and Spark runs in one process, a local folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _LOCAL.setdefault("root", tempfile.mkdtemp(prefix="spark-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -21,3 +25,9 @@ def snapshot(df: DataFrame, name: str = "snapshot", path: str | None = None) ->
     path = path or shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table as read, for costly work row by row: dealt over all cores where its files give fewer partitions than there are; large tables stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

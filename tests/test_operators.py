@@ -103,7 +103,7 @@ def test_walk(spark):
     assert {r.id for r in graph.hops(graph.neighbours(e), seeds(spark, 1), 1).collect()} == {1, 2, 3}
     walked = {r.id: r for r in graph.walk(graph.neighbours(e, floor=0.3), seeds(spark, 1), 3).collect()}
     assert walked[4].path == [1, 2, 3, 4] and walked[4].product == pytest.approx(0.3 * 0.9 * 0.5)
-    capped = graph.hops(graph.neighbours(e), seeds(spark, 1), 1) if False else graph.walk(graph.neighbours(e), seeds(spark, 1), 1, cap=1)
+    capped = graph.walk(graph.neighbours(e), seeds(spark, 1), 1, cap=1)
     assert {r.id for r in capped.collect()} == {1, 2}
     back = graph.hops(graph.neighbours(e, bidirectional=True, relation="s"), seeds(spark, 4), 2)
     assert {r.id: r.hop for r in back.collect()} == {4: 0, 3: 1}
@@ -199,3 +199,61 @@ def test_fuzzy_entities_and_chains_take_all_rows(spark):
     assert {r.id for r in got} == {2000001, 3000001, 5000001}
     walked = spark.range(50).select("id", F.lit(2).alias("hop"), F.array(F.lit(1), F.lit(2), "id").alias("path"), F.lit(0.5).alias("product"))
     assert graph.chains(walked, None).count() == 50 and graph.chains(walked).count() == 20
+
+
+def test_hybrid_keeps_to_its_namespaces(spark):
+    rows = [(i, ns, f"n{i}", "note", "", "some words here", None) for i, ns in enumerate(["a", "b", "c"], 1)]
+    m = spark.createDataFrame(rows, "id long, namespace string, name string, type string, description string, body string, deleted_at long")
+    e = spark.createDataFrame([(i, [1.0, float(i)]) for i in (1, 2, 3)], "memory_id long, embedding array<float>")
+    for own, want in (((), {1, 2, 3}), (("a",), {1}), (("a", "b"), {1, 2})):
+        assert {r.id for r in search.hybrid(m, e, [1.0, 1.0], "words", 5, namespaces=own).collect()} == want
+
+
+def brute_names(files, taken):
+    taken, out = set(taken), {}
+    for path, base in sorted(files):
+        name, n = base, 0
+        while name in taken:
+            n += 1
+            name = f"{base}-{n}"
+        out[path] = name
+        taken.add(name)
+    return out
+
+
+@pytest.mark.parametrize(
+    "files, taken",
+    [
+        ([("1", "a"), ("2", "a-1"), ("3", "a")], []),
+        ([("1", "a")], ["a", "a-2"]),
+        ([("1", "a"), ("2", "a"), ("3", "a")], ["a-1", "a-3"]),
+        ([("1", "a-1"), ("2", "a"), ("3", "a"), ("4", "a-1"), ("5", "b")], ["a"]),
+        ([(f"{i:03}", "x" if i % 3 else "x-2") for i in range(30)], ["x-5", "x-01", "x-2-1", "x-7"]),
+    ],
+)
+def test_unique_names(spark, files, taken):
+    from tessellar.sources import files as f
+
+    used = spark.createDataFrame([(t,) for t in taken], "name string") if taken else None
+    got = {r.path: r.name for r in f.unique_names(spark.createDataFrame(files, "path string, base string"), used).collect()}
+    assert len(set(got.values())) == len(got) and not set(got.values()) & set(taken)
+    assert got == brute_names(files, taken)
+
+
+def test_remember_numbers_and_reasons(spark):
+    m = spark.createDataFrame([(5, "g", "old", "x", None, 1, 1)], "id long, namespace string, name string, body string, deleted_at long, created_at long, updated_at long")
+    v = spark.createDataFrame([(5, 1, "old", "x", "create", 1)], "memory_id long, version long, name string, body string, change_reason string, created_at long")
+    new = spark.createDataFrame([("g", n, n) for n in ("z", "old", "b", "a")], "namespace string, name string, body string")
+    memories, versions = maintain.remember(m, v, new, 9)
+    assert {r.name: (r.id, r.body, r.created_at) for r in memories.collect()} == {"old": (5, "old", 1), "a": (6, "a", 9), "b": (7, "b", 9), "z": (8, "z", 9)}
+    assert {(r.memory_id, r.version, r.change_reason) for r in versions.collect()} == {(5, 1, "create"), (5, 2, "edit"), (6, 1, "create"), (7, 1, "create"), (8, 1, "create")}
+
+
+def test_normalised_entities_merge(spark):
+    ents = spark.createDataFrame([(1, "g", "Big Tool", "tool"), (2, "g", "big-tool", "tool"), (3, "g", "Other", "tool")], "id long, namespace string, name string, type string")
+    e = edges(spark, [(2, 3, "r", 0.5), (1, 3, "r", 0.9), (1, 2, "r", 0.1)])
+    bridge = spark.createDataFrame([(7, 1), (7, 2), (8, 2)], "memory_id long, entity_id long")
+    kept, merged, b = maintain.normalized(ents, e, bridge)
+    assert {(r.id, r.name) for r in kept.collect()} == {(1, "big-tool"), (3, "other")}
+    assert [(r.source_id, r.target_id, r.weight) for r in merged.collect()] == [(1, 3, 0.9)]
+    assert {tuple(r) for r in b.collect()} == {(7, 1), (8, 1)}
