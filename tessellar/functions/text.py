@@ -153,8 +153,8 @@ def _jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
-def entity_name_similarity(query: str, name: Column) -> Column:
-    """Tiers of likeness of an entity name to ``query``: equal, prefixes, first token, containment, then Jaro-Winkler."""
+def entity_name_tier(query: str, name: Column) -> Column:
+    """Tiers of likeness of an entity name to ``query``: equal, prefixes, first token, containment; null where only the letters can tell."""
     q = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query.strip())
     n = F.lower(F.trim(name))
     if not q:
@@ -167,7 +167,18 @@ def entity_name_similarity(query: str, name: Column) -> Column:
     out = out.when(lit.startswith(n) & (F.octet_length(n) >= 3), 0.80).when(first == lit, 0.92)
     if len(q.encode()) >= 3:
         out = out.when(n.contains(lit), 0.82)
-    return out.otherwise(jaro_winkler(q)(n))
+    return out
+
+
+def letters_similarity(query: str, name: Column) -> Column:
+    """Jaro-Winkler of the trimmed, lower-cased name to ``query``."""
+    q = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in query.strip())
+    return jaro_winkler(q)(F.lower(F.trim(name)))
+
+
+def entity_name_similarity(query: str, name: Column) -> Column:
+    """The tier of likeness, or else Jaro-Winkler."""
+    return F.coalesce(entity_name_tier(query, name), letters_similarity(query, name))
 
 
 def heuristic_description(body: Column, stem: Column | None = None) -> Column:

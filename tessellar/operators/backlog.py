@@ -79,6 +79,12 @@ def entity_pairs(entities: DataFrame, edges: DataFrame, bridge: DataFrame, most:
     return graph.isolated_pairs(entities, edges, bridge, most).select(X.pair_key(F.col("a"), F.col("b")).alias("item_key"))
 
 
+def without_skipped(keys: DataFrame, queue: DataFrame, operation: str) -> DataFrame:
+    """Work keys (item_key) without those that were skipped for the operation already."""
+    skipped = queue.where((F.col("operation") == operation) & (F.col("status") == "skipped")).select("item_key")
+    return keys.join(skipped, "item_key", "left_anti")
+
+
 def counts(**scans_: DataFrame) -> DataFrame:
     """(operation, backlog) of named scans."""
     out = None

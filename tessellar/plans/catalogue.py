@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessellar.corpus import Corpus, with_tables
 from tessellar.functions import text as X
-from tessellar.operators import backlog, chunking, fulltext, fusion, graph, maintain, queue, scans, search, shape, vector
+from tessellar.operators import backlog, chunking, fulltext, fusion, graph, maintain, queue, resolve, scans, search, shape, vector
 
 _PLANS: dict[str, Callable[[Corpus], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -535,10 +535,14 @@ def chunks(c):
     return chunking.chunks(c.memories)
 
 
-@plan()
+def _like(q: str) -> str:
+    """SQL of the likeness of a lower-cased name n of three bytes or more to a constant."""
+    return f"round(case when n = '{q}' then 1.0 when starts_with(n, '{q}') and substr(n, {len(q) + 1}, 1) in ('-', '_', ' ') then 0.95 when starts_with(n, '{q}') then 0.88 when starts_with('{q}', n) then 0.80 when regexp_split_to_array(n, '[-_\\s]')[1] = '{q}' then 0.92 when contains(n, '{q}') then 0.82 else jaro_winkler_similarity('{q}', n) end::double, 6)"
+
+
+@plan(f"with l as (select id, name, {_like('nation-1')} as score from (select *, lower(trim(name)) as n from entities)) select id, name, score from l where score >= 0.75 order by score desc, name, id limit 10")
 def fuzzy_entities(c):
-    score = X.entity_name_similarity("nation-1", F.col("name"))
-    return c.entities.select("id", "name", score.alias("score")).where("score >= 0.75").orderBy(F.desc("score"), "name").limit(10)
+    return resolve.suggest(c.entities, "nation-1")
 
 
 @plan()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessellar.functions import text as X
-from tessellar.operators import backlog, fulltext, graph, maintain, queue, shape, tables, vector
-from tessellar.plans.catalogue import _LIVE_KNN, _TOKS, plan, query_vector
+from tessellar.operators import backlog, fulltext, graph, maintain, queue, resolve, shape, tables, vector
+from tessellar.plans.catalogue import _LIVE_KNN, _TOKS, _like, plan, query_vector
 from tessellar.sources import files
 
 AT = 1720000000
@@ -357,6 +357,18 @@ def audit_scan(c):
     return backlog.memory_names(c.memories)
 
 
+@plan("select name as item_key from memories m where deleted_at is null and not exists (select 1 from queue q where q.operation = 'ReEmbed' and q.status = 'dead' and q.item_key = 'item-' || substr(m.name, 5))")
+def veto(c):
+    keys = c.memories.where("deleted_at is null").select(F.col("name").alias("item_key"))
+    skipped = c.queue.where("status = 'dead'").withColumns({"status": F.lit("skipped"), "item_key": F.regexp_replace("item_key", "^item-", "doc-")})
+    return backlog.without_skipped(keys, skipped, "ReEmbed")
+
+
+@plan(f"with l as (select id, name, {_like('region-1')} as score from (select *, lower(trim(name)) as n from entities)), t as (select *, row_number() over (order by score desc, name, id) as k, lead(score) over (order by score desc, name, id) as nxt from (select * from l where score >= 0.75 order by score desc, name, id limit 2)) select id, name, score from t where k = 1 and ((score >= 0.9 and (nxt is null or score - nxt >= 0.05)) or (nxt is null and score >= 0.85))")
+def resolve_entity(c):
+    return resolve.resolve(c.entities, " Region-1 ")
+
+
 # Chunk and URL tables.
 
 

@@ -257,3 +257,14 @@ def test_normalised_entities_merge(spark):
     assert {(r.id, r.name) for r in kept.collect()} == {(1, "big-tool"), (3, "other")}
     assert [(r.source_id, r.target_id, r.weight) for r in merged.collect()] == [(1, 3, 0.9)]
     assert {tuple(r) for r in b.collect()} == {(7, 1), (8, 1)}
+
+
+def test_resolve_needs_a_lead(spark):
+    from tessellar.operators import resolve
+
+    names = lambda *n: spark.createDataFrame(list(enumerate(n)), "id int, name string")
+    assert [r.name for r in resolve.resolve(names("alpha", "beta"), "alpha").collect()] == ["alpha"]
+    # Two names that begin alike are no answer; one alone is.
+    assert resolve.resolve(names("alpha-x", "alpha-y"), "alpha").count() == 0
+    assert [r.name for r in resolve.resolve(names("alphabet", "zzz"), "alpha").collect()] == ["alphabet"]
+    assert resolve.resolve(names("zzz"), "alpha").count() == 0
