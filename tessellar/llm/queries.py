@@ -131,9 +131,9 @@ _LONGEST = max(map(len, decontaminate.MASKS))
 _OP10_SQL = f"""
 with d as (select row_number() over () as did, doc_id, words from (select distinct doc_id, {_WORDS_SQL} as words from documents)),
 i as (select row_number() over () as pid, item_id, words, len(words) as m from (select distinct item_id, {_WORDS_SQL} as words from benchmark where item_id is not null)),
-dw as (select did, unnest(words) as w, unnest(range(len(words))) as at from d),
+dw as (select did, unnest(words) as w, unnest(range(len(words))) as pos from d),
 iw as (select pid, m, unnest(words) as w, unnest(range(m)) as p from i),
-e as (select did, pid, m, at - p as diag, p from dw join iw using (w)),
+e as (select did, pid, m, pos - p as diag, p from dw join iw using (w)),
 c as (select *, count(*) over (partition by did, pid, diag) as n, row_number() over (partition by did, pid, diag order by p) as k from e),
 q as (select * from c where n >= case when m < {_LONGEST} then m else ceil(0.8 * least(13, m)) end),
 r as (select a.did, a.pid, a.m, a.diag + a.p as start_word, b.p - a.p + 1 as n_words, b.k - a.k + 1 as n_equal from q a join q b on a.did = b.did and a.pid = b.pid and a.diag = b.diag and a.p <= b.p),
