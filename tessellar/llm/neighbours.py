@@ -43,11 +43,16 @@ def _valid(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("double")).alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & fine & some)
 
 
-def _direction() -> Column:
-    """The embedding at length one, rounded; scaled first by its largest component, so squares stay finite."""
-    scaled = F.transform("embedding", lambda x: x / F.array_max(F.transform("embedding", F.abs)))
+def _with(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, not once for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _direction() -> tuple[Column, Column]:
+    """(scaled, direction): the embedding at length one, rounded; scaled first by its largest component, so squares stay finite."""
+    scaled = _with(F.array_max(F.transform("embedding", F.abs)), lambda top: F.transform("embedding", lambda x: x / top))
     norm = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
-    return scaled, F.transform("scaled", lambda x: F.round(x / norm, DIGITS) + F.lit(0.0))
+    return scaled, _with(norm, lambda n: F.transform("scaled", lambda x: F.round(x / n, DIGITS) + F.lit(0.0)))
 
 
 def chi_square(x, m: int):
