@@ -216,6 +216,7 @@ def test_passages_of_long_and_repetitive_texts(spark):
 def test_large_keys_lose_no_class(spark, documents, monkeypatch, few, many):
     """With small bounds every key is large: its classes are those of all pairs."""
     monkeypatch.setattr(passages, "MANY", many)
+    monkeypatch.setattr(passages, "BLOCK", 4)
     want = {tuple(r) for r in passages.repeated(documents, few=10**6).collect()}
     got = {tuple(r) for r in passages.repeated(documents, few=few).collect()}
     assert {r[0] for r in got} == {r[0] for r in want} and {(r[0], r[3]) for r in got} == {(r[0], r[3]) for r in want}
