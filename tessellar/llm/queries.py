@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, line_dedup, near_duplicates, neighbours, packing, passages, quality, token_files, url_filter
+from . import byte_bpe, conversations, decontaminate, html_text, line_dedup, near_duplicates, neighbours, packing, passages, quality, spelling, token_files, url_filter
 from .common import spread
 
 URL_RULES = [
@@ -81,8 +81,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by byte-level BPE and decoded again, both digested."""
+    import public_tokenizers
+
+    how = tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = table(spark, sf_dir, "documents").select("doc_id", byte_bpe.token_ids(F.col("text"), *how).alias("ids"))
+    both = coded.select("doc_id", "ids", byte_bpe.decoded(F.col("ids"), *how).alias("bytes"))
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired by the cheapest edits."""
+    mended = conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+    return mended.withColumn("repaired_sha256", F.sha2(conversations.repaired_text(F.col("repaired")), 256)).drop("repaired")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of six letters or more that occurs five times, with its frequent form."""
+    words = spelling.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"), least=6)
+    return spelling.variants(spelling.vocabulary(words, often=5), times=5)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_packing, op2_url_filter, op3_ngram_jaccard_join, op4_quality, op5_html_text, op6_token_files, op7_line_dedup, op8_nearest_neighbours, op9_substring_dedup, op10_decontaminate)}
+    first = (op1_packing, op2_url_filter, op3_ngram_jaccard_join, op4_quality, op5_html_text, op6_token_files, op7_line_dedup, op8_nearest_neighbours, op9_substring_dedup, op10_decontaminate)
+    return {f.__name__: f for f in (*first, op11_byte_bpe, op12_conversation_repair, op13_spelling_variants)}
 
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,5 +167,70 @@ qualify row_number() over (partition by d.doc_id, i.item_id order by n_words des
 """
 
 
+# CRC-32 by its table, which its rule makes; ``{bytes}`` is a list of byte values.
+_CRC_TABLE = "crc(t) as (select list(c order by i) from (select i, list_reduce(range(8), lambda a, x: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) as c from range(256) r(i)))"
+
+
+def _crc(byte_list: str) -> str:
+    return f"xor(list_reduce({byte_list}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _plus(state: str, cost: str, op: str) -> str:
+    """A state is its cost in nine digits and its audit, so that texts are in order of both."""
+    return f"(lpad(cast(cast(left({state}, 9) as int) + {cost} as varchar), 9, '0') || substr({state}, 10) || '{op}')"
+
+
+_NEVER = "'400000000'"
+
+
+def _stay(state: str, initial: str) -> str:
+    kept = _plus(state, "x.more", "K")
+    return f"case when x.bad then {_NEVER} when x.c = '{initial}' then {kept} else {_plus(state, 'x.more + 2', 'R')} end"
+
+
+def _mended(rows: str) -> str:
+    """Rows (r, i, e, s, u, a) after inserts."""
+    u = f"least(u, {_plus('e', '2', 'I')}, {_plus('s', '2', 'I')}, {_plus('a', '2', 'I')})"
+    return f"select r, i, e, s, u, least(a, {_plus('u', '2', 'I')}) as a from (select r, i, e, s, {u} as u, a from ({rows}))"
+
+
+_OP12_SQL = rf"""
+with recursive {_CRC_TABLE},
+k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, dense_rank() over (order by conv_id) as r,
+ coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as key from conversations),
+h as (select r, turn, role, text, {_crc("list_transform(string_split(key, ''), lambda ch: cast(unicode(ch) as bigint))")} % 20 as h from k, crc),
+m as (select r, turn, case when h = 4 then 'user' else role end as role, case h when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when h = 3 then 2 else 1 end)) as again from h where h <> 0),
+o as (select *, row_number() over (partition by r order by turn nulls first, role, text, again) as i, row_number() over (partition by r, role, text order by turn nulls first, again) as n, regexp_replace(text, '[\x20\x09-\x0D]+$', '') as s from m),
+f as (select r, i, turn, role, text, left(role, 1) as c, lag(left(role, 1)) over (partition by r order by i) as p,
+ case when s = '' then 'blank' when n > 1 then 'duplicate' when right(s, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from o),
+x as (select r, i, c, fault in ('blank', 'duplicate') as bad, (fault = 'truncated')::int as more from f),
+dp(r, i, e, s, u, a) as (({_mended(f"select distinct r, cast(0 as bigint) as i, '000000000' as e, {_NEVER} as s, {_NEVER} as u, {_NEVER} as a from k")})
+ union all ({_mended(f"select d.r, x.i, {_plus('d.e', '3', 'D')} as e, least({_plus('d.s', '3', 'D')}, case when not x.bad and x.c = 's' then {_plus('d.e', 'x.more', 'K')} else {_NEVER} end) as s, least({_plus('d.u', '3', 'D')}, {_stay('least(d.e, d.s, d.a)', 'u')}) as u, least({_plus('d.a', '3', 'D')}, {_stay('d.u', 'a')}) as a from dp d join x on x.r = d.r and x.i = d.i + 1")})),
+b as (select r, cast(left(v, 9) as bigint) as cost, substr(v, 10) as audit from (select r, arg_max(least(e, a), i) as v from dp group by r)),
+ch as (select r, unnest(string_split(audit, '')) as op, unnest(range(length(audit))) as j from b where audit <> ''),
+w as (select *, sum((op <> 'I')::int) over q as i, sum((op <> 'D')::int) over q as e from ch window q as (partition by r order by j)),
+y as (select w.*, f.role, f.text, bool_or(w.op = 'K' and w.e = 1 and left(f.role, 1) = 's') over (partition by w.r) as sys from w left join f on f.r = w.r and f.i = w.i),
+z as (select r, string_agg(case when op = 'K' then role when (e - sys::int) % 2 = 1 then 'user' else 'assistant' end || ':' || case when op = 'I' then '' else text end, chr(10) order by j) as said from y where op <> 'D' group by r),
+g as (select r, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated, count(*) filter (p || c not in ('su', 'ua', 'au')) as illegal from f group by r)
+select conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, cost, audit, sha256(coalesce(said, '')) as repaired_sha256
+from (select distinct r, conv_id from k) join b using (r) left join g using (r) left join z using (r)
+"""
+
+# No keys: words without one letter, at its place, are compared.
+_OP13_SQL = f"""
+with recursive {_CRC_TABLE},
+l as (select coalesce(cast(doc_id as varchar), '') as id, translate(run, '{_UP}', '{_LOW}') as run from (select doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) as run from documents) where length(run) >= 6),
+h as (select run, {_crc("flatten(list_transform(string_split(id || ':' || run, ''), lambda ch: case when unicode(ch) < 128 then [cast(unicode(ch) as bigint)] else [195, cast(unicode(ch) as bigint) - 64] end))")} as h from l, crc),
+w as (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from h),
+v as (select word, count(*) as n from w where length(word) >= 6 group by word having count(*) >= 5),
+d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as x from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+p as (select a.word, b.word as other, b.n from d a join d b on a.x = b.x and a.i = b.i and a.word <> b.word union select d.word, v.word, v.n from d join v on d.x = v.word union select v.word, d.word, d.n from d join v on d.x = v.word),
+q as (select word, count(*) as n_near, first(other order by n desc, other) as other, max(n) as top from p group by word),
+g as (select word, v.n, coalesce(n_near, 0) as n_near, case when top >= 5 * v.n then other end as form, case when top >= 5 * v.n then top end as form_n from v left join q using (word)),
+walk(word, stop) as (select word, word from g union all select walk.word, g.form from walk join g on g.word = walk.stop where g.form is not null)
+select g.word, g.form, walk.stop as root, g.n, g.n_near, g.form_n from g join walk using (word) join g e on e.word = walk.stop and e.form is null
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": _OP2_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op7_line_dedup": _OP7_SQL, "op10_decontaminate": _OP10_SQL}
+    return {"op2_url_filter": _OP2_SQL, "op3_ngram_jaccard_join": _OP3_SQL, "op7_line_dedup": _OP7_SQL, "op10_decontaminate": _OP10_SQL, "op12_conversation_repair": _OP12_SQL, "op13_spelling_variants": _OP13_SQL}
