@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Characters of a part, at least, and of a run of white space that is a part of its own.
 PART, BLANKS = 1 << 16, 1 << 12
 # White space as the pattern's ``\s`` has it (Unicode's White_Space).
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # No match of the pattern goes on from a character into white space after it.
 _BOUNDARY = re.compile(rf"[^\s{_SPACE}](?=[{_SPACE}])")
 _RUN = re.compile(rf"[{_SPACE}]{{{BLANKS},}}")
