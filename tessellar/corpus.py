@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessellar.storage import spread
+from tessellar.operators import fulltext
+from tessellar.storage import shared_path, spread
 
 #: Derived table to SQL; {name} stands for a supplied table.
 DERIVATIONS = {
@@ -38,8 +40,12 @@ DERIVATIONS = {
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+#: The text index of each state of each folder's documents, by application, folder and files.
+_TEXT: dict[tuple, str] = {}
+
+
 class Corpus:
-    """Lazy frames of the supplied and the derived tables of one folder."""
+    """Lazy frames of the supplied and the derived tables of one folder, and an index of its texts."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -52,6 +58,18 @@ class Corpus:
             self._read[name] = spread(df) if name == "documents" else df
         return self._read[name]
 
+    @property
+    def text_index(self) -> fulltext.Index:
+        """The index of the live memories' texts: built once for what the documents' files are now, then opened."""
+        files = self.spark.read.parquet(f"{self.dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+        now = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file_path", "file_modification_time", "file_size"))).first()
+        key = (self.spark.sparkContext.applicationId, self.spark.conf.get("spark.checkpoint.dir", None), self.dir, *now)
+        if key not in _TEXT:
+            path = shared_path(self.spark, "text-index")
+            fulltext.build_index(self.memories, path)
+            _TEXT[key] = path
+        return fulltext.open_index(self.memories, _TEXT[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name in DERIVATIONS:
             sql = DERIVATIONS[name].replace("varchar(20)", "string")

@@ -29,15 +29,47 @@ def strip_accents(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, marked, base), r"\p{M}+", "")
 
 
+@lru_cache
+def _compatible() -> tuple[str, str, list[str], list[str]]:
+    """What compatibility decomposition leaves of a character in ASCII: characters that give one, with it, and those that give more, with them."""
+    one, more = [], []
+    for code in [*range(0xA0, 0xD800), *range(0xE000, 0x110000)]:
+        left = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if x.isascii())
+        if left:
+            (one if len(left) == 1 else more).append((chr(code), left))
+    return "".join(a for a, _ in one), "".join(b for _, b in one), [a for a, _ in more], [b for _, b in more]
+
+
+def _character_class(chars: list[str]) -> str:
+    """A pattern of the characters, neighbouring code points as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{z:x}}}" for a, z in ranges) + "]"
+
+
+def ascii_form(c: Column) -> Column:
+    """The ASCII characters of a text's compatibility decomposition: ``é`` and full-width ``Ｅ`` give one, ``ﬁ`` two, Cyrillic none."""
+    single, its, several, theirs = _compatible()
+    cut = "\x01"
+    table = F.map_from_arrays(F.split(F.lit(cut.join(several)), cut), F.split(F.lit(cut.join(theirs)), cut))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    # Most texts are ASCII, and few others have characters that give several.
+    whole = F.when(c.rlike(_character_class(several)), spelled).otherwise(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(whole, single, its), r"[^\x00-\x7F]+", "")).otherwise(c)
+
+
 def tokens(c: Column) -> Column:
     """Accent- and case-insensitive tokens: runs of letters and digits."""
     return F.array_remove(F.split(F.lower(strip_accents(F.coalesce(c, F.lit("")))), r"[^\p{L}\p{N}]+"), "")
 
 
 def normalize_entity_name(c: Column) -> Column:
-    """Kebab-case ASCII: marks dropped, other non-ASCII dropped, the rest hyphens, collapsed and trimmed."""
-    ascii_ = F.regexp_replace(strip_accents(c), r"[^\x00-\x7F]+", "")
-    return F.regexp_replace(F.regexp_replace(F.lower(ascii_), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    """Kebab-case ASCII: compatibility forms decomposed, other non-ASCII dropped, the rest hyphens, collapsed and trimmed."""
+    return F.regexp_replace(F.regexp_replace(F.lower(ascii_form(c)), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
 
 
 def kebab_name(stem: Column, max_len: int = 60) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions import text as X
-from tessellar.operators import graph, scans, vector
+from tessellar.operators import graph, maintain, scans, vector
+from tessellar.storage import snapshot
 
 
 def unbound_memories(memories: DataFrame, bridge: DataFrame) -> DataFrame:
@@ -108,6 +109,26 @@ def quality_estimate(entities: DataFrame, bridge: DataFrame, memories: DataFrame
     return scored.agg(F.count(F.lit(1)).alias("sampled"), F.round(F.avg("ok"), 6).alias("accept_rate"), F.round(F.avg("score"), 6).alias("mean_score")).withColumn("quality", F.round(F.col("accept_rate") * 0.5 + F.col("mean_score") * 0.5, 6))
 
 
+def write_back(results: DataFrame, memories: DataFrame, versions: DataFrame, entities: DataFrame, vectors: DataFrame, at: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(memories, versions, entities, vectors) after results (seq, operation, item_id, text, embedding) of enrichment.
+
+    One written set of what holds, the last result of each item, is split into keyed merges: ``EntityDescriptions`` replace
+    descriptions, ``BodyEnrich`` replaces bodies, each a version more, and ``ReEmbed`` or a body's own embedding replaces
+    a vector; of two vectors the later one.  Results of items that are not there, or deleted, change nothing.
+    """
+    last = results.groupBy("operation", "item_id").agg(F.max("seq").alias("seq"), F.max_by(F.struct("text", "embedding"), "seq").alias("r"))
+    held = snapshot(last.select("seq", "operation", F.col("item_id").alias("id"), "r.text", "r.embedding"), "results")
+    time = F.lit(at).cast("bigint")
+    described = held.where("operation = 'EntityDescriptions'").join(entities.select("id"), "id", "left_semi").select("id", F.col("text").alias("description"))
+    described = described.withColumn("updated_at", time) if "updated_at" in entities.columns else described
+    own = held.where("operation in ('BodyEnrich', 'ReEmbed')").join(scans.live(memories).select("id"), "id", "left_semi")
+    bodies = own.where("operation = 'BodyEnrich'").select("id", F.col("text").alias("body"), time.alias("updated_at"))
+    after = maintain.merge_by_key(memories, bodies, ["id"])
+    logged = maintain.append_versions(versions, after.join(bodies.select("id"), "id", "left_semi"), "edit", at)
+    fresh = own.where("embedding is not null").groupBy(F.col("id").alias("memory_id")).agg(F.max_by("embedding", "seq").alias("embedding"))
+    return after, logged, maintain.merge_by_key(entities, described, ["id"]), vector.upsert(vectors, fresh, "memory_id")
+
+
 #: The order in which operations run: gates first.
 FIRST, LAST = ["MemoryBindings", "EntityDescriptions"], ["ReEmbed", "EntityConnect"]
 

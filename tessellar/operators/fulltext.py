@@ -1,16 +1,21 @@
-"""BM25 full-text search over name, description and body."""
+"""BM25 full-text search over name, description and body, by an inverted index in Parquet.
+
+The index is sorted by term over its files, so a query, whose terms are prefixes, reads the row groups
+whose statistics hold one of them; it never reads a body.
+"""
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessellar.functions import text as X
 from tessellar.operators import scans
-from tessellar.storage import snapshot
+from tessellar.storage import shared_path, snapshot
 
 K1, B = 1.2, 0.75
 
@@ -47,25 +52,54 @@ def document_tokens(memories: DataFrame) -> DataFrame:
     return scans.live(memories).select("id", "namespace", "type", X.tokens(joined).alias("toks"))
 
 
-def bm25(memories: DataFrame, query: str, limit: int, namespaces: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
-    """(id, score), best first, ties by id; of some namespaces, or of all.
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (term, id, tf, dl, namespace, type) in order of terms, and ``totals`` (n, tokens), one row; of live memories."""
+
+    postings: DataFrame
+    totals: DataFrame
+
+
+def build_index(memories: DataFrame, path: str | None = None) -> Index:
+    """Read and tokenize every live memory once, and write its terms.  A term of very many memories spreads over several files."""
+    path = path or shared_path(memories.sparkSession, "text-index")
+    docs = document_tokens(memories).withColumn("dl", F.size("toks").cast("bigint"))
+    # Equal tokens stand together in the sorted array: a term's count is how far on the next one begins.
+    words = docs.withColumn("toks", F.array_sort("toks")).withColumn("at", F.when(F.col("dl") > 0, F.filter(F.sequence(F.lit(1), F.greatest("dl", F.lit(1)).cast("int")), lambda i: (i == 1) | (F.get("toks", i - 1) != F.get("toks", i - 2)))))
+    counted = F.zip_with("at", F.concat(F.slice("at", 2, F.size("at")), F.array((F.col("dl") + 1).cast("int"))), lambda i, j: F.struct(F.get("toks", i - 1).alias("term"), (j - i).cast("bigint").alias("tf")))
+    # A memory without tokens counts in the totals alone.
+    rows = words.select("id", "namespace", "type", "dl", F.explode_outer(F.when(F.col("dl") > 0, counted)).alias("w")).select("w.term", "id", "w.tf", "dl", "namespace", "type")
+    laid = snapshot(rows, "terms")
+    laid.where("term is not null").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    first = F.col("term").isNull()
+    laid.agg(F.count_distinct("id").alias("n"), F.coalesce(F.sum(F.when(first, 0).otherwise(F.col("tf"))), F.lit(0)).cast("bigint").alias("tokens")).write.parquet(f"{path}/totals")
+    return open_index(memories, path)
+
 
-    Corpus statistics are over all live memories.  Each text is read and tokenized once: its term counts
-    are written, a few numbers a row, and serve the totals and the hits.
+def open_index(memories: DataFrame, path: str) -> Index:
+    spark = memories.sparkSession
+    kind = memories.schema["id"].dataType.simpleString()
+    return Index(spark.read.schema(f"term string, id {kind}, tf bigint, dl bigint, namespace string, type string").parquet(f"{path}/postings"), spark.read.schema("n bigint, tokens bigint").parquet(f"{path}/totals"))
+
+
+def bm25(memories: DataFrame, query: str, limit: int, namespaces: tuple[str, ...] = (), kind: str | None = None, index: Index | None = None) -> DataFrame:
+    """(id, score), best first, ties by id; of some namespaces, or of all.  Without an index one is built.
+
+    Corpus statistics are over all live memories.
     """
     match = parse_query(query)
     terms = list(dict.fromkeys(_term(t) for t in match.terms))
-    docs = document_tokens(memories)
     if not terms:
-        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-
-    def count_of(term: str) -> Column:
-        return F.size(F.filter("toks", lambda w: w.startswith(term))).cast("double")
-
-    tf = [count_of(t) for t in terms]
-    counted = snapshot(docs.select("id", "namespace", "type", F.size("toks").cast("double").alias("dl"), F.array(*tf).alias("tf")), "counted")
+        return memories.select("id", F.lit(0.0).alias("score")).limit(0)
+    index = index or build_index(memories)
+    # Prefixes reach the scan; a term counts for each of the query's that it begins with.
+    begins = [F.col("term").startswith(t) for t in terms]
+    read = index.postings.where(reduce(lambda a, b: a | b, begins))
+    tf = [F.coalesce(F.sum(F.when(b, F.col("tf"))), F.lit(0)).cast("double") for b in begins]
+    counted = snapshot(read.groupBy("id", "dl", "namespace", "type").agg(F.array(*tf).alias("tf")).withColumn("dl", F.col("dl").cast("double")), "counted")
     # Totals are one row; it is joined, so the plan stays one and lazy.
-    totals = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0).cast("double") for i in range(len(terms))]).alias("df"))
+    found = counted.agg(F.array(*[F.count_if(F.get("tf", F.lit(i)) > 0).cast("double") for i in range(len(terms))]).alias("df"))
+    totals = index.totals.select(F.col("n").cast("double").alias("n"), (F.col("tokens") / F.col("n")).alias("avgdl")).where("n > 0").crossJoin(F.broadcast(found))
     hit = [F.get("tf", F.lit(i)) > 0 for i in range(len(terms))]
     cond = hit[0]
     for h in hit[1:]:

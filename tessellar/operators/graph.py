@@ -188,10 +188,32 @@ def context(entities: DataFrame, edges: DataFrame, names: DataFrame, limit: int
     return own, among
 
 
+def shared_memories(bridge: DataFrame, slice_size: int = 256) -> DataFrame:
+    """(a, b, n): pairs of entities, a before b, and the memories they share.
+
+    A memory's entities are dealt into slices by hash; pairs come from one slice, or from two that meet, in rows of bounded size, and are counted
+    before they are shuffled.  So a memory with very many entities spreads over as many rows as it has pairs of slices.
+    """
+    links = bridge.select("memory_id", "entity_id").distinct()
+    wide = links.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > slice_size).select("memory_id", F.ceil(F.col("n") / slice_size).cast("int").alias("slices"))
+    dealt = links.join(wide, "memory_id", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    dealt = dealt.withColumn("slice", F.when(F.col("slices") == 1, 0).otherwise(F.pmod(F.xxhash64("entity_id"), F.col("slices")).cast("int")))
+    slices = dealt.groupBy("memory_id", "slices", "slice").agg(F.array_sort(F.collect_list("entity_id")).alias("own"))
+
+    def pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+        met = rows.select(F.explode(x).alias("x"), y).select("x", F.explode(y).alias("y")).where("x < y" if x == y else "x <> y")
+        return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    inside = pairs(slices, "own", "own")
+    many = slices.where("slices > 1")
+    sent = many.where("slice > 0").select("memory_id", F.col("own").alias("other"), F.explode(F.sequence(F.lit(0), F.col("slice") - 1)).alias("slice"))
+    across = pairs(many.join(sent, ["memory_id", "slice"]), "own", "other")
+    return inside.unionByName(across).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cooccurrence(bridge: DataFrame, edges: DataFrame, seen: DataFrame | None = None, most: int = 50) -> DataFrame:
     """(a, b, n): unlinked pairs of entities that share memories, most shared first."""
-    x, y = bridge.select("memory_id", F.col("entity_id").alias("a")), bridge.select("memory_id", F.col("entity_id").alias("b"))
-    pairs = x.join(y, "memory_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    pairs = shared_memories(bridge)
     linked = edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"))
     out = pairs.join(linked, ["a", "b"], "left_anti")
     if seen is not None:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessellar.storage import snapshot
+
 KEY = ["namespace", "operation", "item_key"]
 MAX_ATTEMPTS, STALE_S, BREAKER = 8, 1800, 5
 
@@ -151,11 +153,25 @@ def drop_items(queue: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def breaker(outcomes: DataFrame, limit: int = BREAKER) -> DataFrame:
-    """(operation, seq, open): outcomes (operation, seq, hard) in order; open from the ``limit``-th hard failure in a row on, until a success or a soft one."""
-    w = Window.partitionBy("operation").orderBy("seq")
-    islands = outcomes.withColumn("_g", F.sum(F.when(F.col("hard"), 0).otherwise(1)).over(w))
-    run = F.sum(F.col("hard").cast("int")).over(Window.partitionBy("operation", "_g").orderBy("seq"))
-    return islands.withColumn("open", run >= limit).select("operation", "seq", "open")
+    """(operation, seq, open): outcomes (operation, seq, hard) in order; open from the ``limit``-th hard failure in a row on, until a success or a soft one.
+
+    Runs are counted within ranges of the order; a range that begins inside a run adds what the ranges before it carry over, a row for each range and operation.
+    """
+    order = ["operation", "seq"]
+    laid = outcomes.select("operation", "seq", F.coalesce("hard", F.lit(False)).alias("hard")).repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = snapshot(laid.withColumn("_part", F.spark_partition_id()), "outcomes")
+    w = Window.partitionBy("_part", "operation").orderBy("seq")
+    # Rows since the last one that ends a run; none yet in the range's first run.
+    local = laid.withColumns({"_k": F.row_number().over(w), "_end": F.max(~F.col("hard")).over(w)})
+    local = local.withColumn("_run", F.col("_k") - F.coalesce(F.max(F.when(~F.col("hard"), F.col("_k"))).over(w), F.lit(0)))
+    edge = local.groupBy("_part", "operation").agg(F.max_by("_run", "_k").alias("_tail"), F.count_if(~F.col("hard")).alias("_ends"))
+    before = Window.partitionBy("operation").orderBy("_part")
+    # Ranges since the last one with an end, that one's tail included.
+    grouped = edge.withColumn("_group", F.sum(F.when(F.col("_ends") > 0, 1).otherwise(0)).over(before))
+    carry = grouped.withColumn("_sum", F.sum("_tail").over(Window.partitionBy("operation", "_group").orderBy("_part"))).withColumn("_carry", F.coalesce(F.lag("_sum").over(before), F.lit(0)))
+    met = local.join(F.broadcast(carry.select("_part", "operation", "_carry")), ["_part", "operation"])
+    run = F.col("_run") + F.when(F.col("_end"), 0).otherwise(F.col("_carry"))
+    return met.select("operation", "seq", (run >= limit).alias("open"))
 
 
 def stage_cleanup(staged: DataFrame, before: int, terminal: tuple[str, ...] = ("done", "failed")) -> DataFrame:

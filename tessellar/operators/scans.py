@@ -54,6 +54,11 @@ def by_ids(memories: DataFrame, ids: DataFrame) -> DataFrame:
     return live(memories).join(ids.select("id").distinct(), "id", "left_semi")
 
 
+def picked(memories: DataFrame, ids: list) -> DataFrame:
+    """Memories of a bounded list of ids, which reaches the scan as a filter."""
+    return memories.where(F.col("id").isin(ids) if ids else F.lit(False))
+
+
 def any_state(memories: DataFrame, namespace: str, name: str) -> DataFrame:
     own = memories.where((F.col("namespace") == namespace) & (F.col("name") == name))
     return own.select("id", F.col("deleted_at").isNotNull().alias("is_deleted"))

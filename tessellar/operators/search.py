@@ -20,16 +20,18 @@ def check_k(k: int) -> int:
     return k
 
 
-def hybrid(memories: DataFrame, embeddings: DataFrame, query_vector: list[float], query: str, k: int = 10, weight_vec: float = 1.0, weight_fts: float = 1.0, rrf_k: int = fusion.RRF_K, namespaces: tuple[str, ...] = (), kind: str | None = None) -> DataFrame:
+def hybrid(memories: DataFrame, embeddings: DataFrame, query_vector: list[float], query: str, k: int = 10, weight_vec: float = 1.0, weight_fts: float = 1.0, rrf_k: int = fusion.RRF_K, namespaces: tuple[str, ...] = (), kind: str | None = None, index: fulltext.Index | None = None) -> DataFrame:
     """Vector and BM25 candidates, 2k each, fused by weighted reciprocal ranks; with names and snippets."""
     check_k(k)
     near = fusion.ranked(vector.memory_knn(embeddings, memories, query_vector, 2 * k, namespaces, kind), "distance", "id")
     if weight_fts == 0:
         found = near.select("id", "rank").limit(0)
     else:
-        found = fusion.ranked(fulltext.bm25(memories, query, 2 * k, namespaces, kind), F.desc("score"), "id").select("id", "rank")
-    fused = fusion.fuse(near.select("id", "rank"), found, k, weight_vec, weight_fts, rrf_k)
-    rows = fused.join(scans.live(memories).select("id", "name", F.substring("body", 1, SNIPPET).alias("snippet")), "id")
+        found = fusion.ranked(fulltext.bm25(memories, query, 2 * k, namespaces, kind, index), F.desc("score"), "id").select("id", "rank")
+    fused = snapshot(fusion.fuse(near.select("id", "rank"), found, k, weight_vec, weight_fts, rrf_k), "fused")
+    # At most k ids: they reach the scan of the memories.
+    named = scans.picked(scans.live(memories), [r.id for r in fused.select("id").collect()])
+    rows = fused.join(named.select("id", "name", F.substring("body", 1, SNIPPET).alias("snippet")), "id")
     return rows.select("id", "name", F.round("score", 9).alias("score"), F.round("normalized_score", 9).alias("normalized_score"), "vec_rank", "fts_rank", "source", "snippet").orderBy(F.desc("score"), "id")
 
 
@@ -49,7 +51,7 @@ def recall(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge:
     direct = snapshot(vector.memory_knn(embeddings, memories, query_vector, k, namespaces), "direct")
     if max_distance < 1.0 and direct.where(F.col("distance") <= max_distance).isEmpty():
         raise LookupError("no memory within the distance")
-    named = direct.join(scans.live(memories).select("id", "name"), "id")
+    named = direct.join(scans.picked(scans.live(memories), [r.id for r in direct.select("id").collect()]).select("id", "name"), "id")
     seeds = vector.entity_knn(entity_embeddings, query_vector).select(F.col("entity_id").alias("id")) if entity_embeddings is not None else None
     more = expand(edges, bridge, memories, direct, max_hops, floor, None, seeds)
     own = named.select("id", "name", F.round("distance", 6).alias("distance"), F.lit(None).cast("bigint").alias("hop"), F.lit("direct").alias("source"))
@@ -57,9 +59,9 @@ def recall(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge:
     return both.withColumn("score", F.round(X.score_from_distance(F.col("distance")), 6))
 
 
-def fts_fallback(memories: DataFrame, query: str, k: int) -> DataFrame:
+def fts_fallback(memories: DataFrame, query: str, k: int, index: fulltext.Index | None = None) -> DataFrame:
     """(id, rank, distance, source): text search where no query vector can be had; the distance follows the rank."""
-    hits = fusion.ranked(fulltext.bm25(memories, query, k), F.desc("score"), "id")
+    hits = fusion.ranked(fulltext.bm25(memories, query, k, index=index), F.desc("score"), "id")
     return hits.select("id", "rank", F.round(X.rank_distance(F.col("rank") - 1), 6).alias("distance"), F.lit("fts_fallback").alias("source"))
 
 
@@ -95,15 +97,15 @@ def decompose(query: str, most: int = 7) -> list[tuple[str, str]]:
     return [(query, "original")]
 
 
-def research(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge: DataFrame, parts: list[tuple[str, list[float]]], k: int = 10, max_hops: int = 2, floor: float = 0.3, decay: float = 0.7, most: int = 50) -> DataFrame:
+def research(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge: DataFrame, parts: list[tuple[str, list[float]]], k: int = 10, max_hops: int = 2, floor: float = 0.3, decay: float = 0.7, most: int = 50, index: fulltext.Index | None = None) -> DataFrame:
     """(id, score, source, sub_queries): each part's hybrid hits and what the graph reaches from them, merged by best score.
 
     A reached memory scores the mean of the part's hits, decayed by its hop; of equal scores the earliest part's holds.
     """
-    out = None
+    out, index = None, index or fulltext.build_index(memories)
     for i, (query, query_vector) in enumerate(parts):
         # At most k rows, read several times below.
-        hits = snapshot(hybrid(memories, embeddings, query_vector, query, k).select("id", F.col("normalized_score").alias("score"), "source"), "hits")
+        hits = snapshot(hybrid(memories, embeddings, query_vector, query, k, index=index).select("id", F.col("normalized_score").alias("score"), "source"), "hits")
         mean = hits.agg(F.coalesce(F.avg("score"), F.lit(0.5)).alias("mean"))
         near = graph.reach_memories(edges, bridge, memories, hits, max_hops, floor).crossJoin(mean)
         near = near.select("id", X.decay_score(F.col("mean"), F.col("hop"), decay).alias("score"), F.lit("graph").alias("source"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Up to this width a product with a constant vector is one generated expression.
 UNROLLED = 256
+#: Rounds of a memory search by candidates, and candidates at most in one: what the driver holds.
+ROUNDS, MOST = 2, 1 << 16
 
 
 def _dot(e: Column, q: list[float]) -> Column:
@@ -57,15 +59,34 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id")
 
 
 def memory_knn(embeddings: DataFrame, memories: DataFrame, query: list[float], k: int, namespaces: tuple[str, ...] = (), kind: str | None = None, live_after_k: bool = False) -> DataFrame:
-    """(id, distance) of live memories.  ``live_after_k`` drops the deleted after the cut instead, so fewer may come back."""
+    """(id, distance) of live memories.  ``live_after_k`` drops the deleted after the cut instead, so fewer may come back.
+
+    The nearest candidates alone look for their memories, by id: twice as many as are asked for, then more where too few of them are wanted ones;
+    past ``ROUNDS`` rounds all ids meet all memories in a join.
+    """
     from tessellar.operators import scans
 
     own = scans.of_type(scans.in_namespace(memories, *namespaces), kind).select("id", "deleted_at")
+    wanted = own if live_after_k else scans.live(own)
     # Distances first: what meets the memories is two numbers a row, not the vectors.
     near = of_width(embeddings, len(query)).select(F.col("memory_id").alias("id"), (F.lit(1.0) - cosine_to(F.col("embedding"), query)).alias("distance"))
+    nearest, take = None, 2 * k
+    for _ in range(ROUNDS):
+        if take > MOST:
+            break
+        first = near.orderBy("distance", "id").limit(take).collect()
+        kept = {r.id for r in scans.picked(wanted, [r.id for r in first]).select("id").collect()}
+        found = [(r.id, r.distance) for r in first if r.id in kept]
+        if len(found) >= k or len(first) < take:
+            kind_of = own.schema["id"].dataType.simpleString()
+            nearest = own.sparkSession.createDataFrame(found[:k], f"id {kind_of}, distance double")
+            break
+        take *= 8
+    if nearest is None:
+        nearest = near.join(wanted.select("id"), "id", "left_semi").orderBy("distance", "id").limit(k)
     if live_after_k:
-        return near.join(own.select("id"), "id", "left_semi").orderBy("distance", "id").limit(k).join(scans.live(own).select("id"), "id", "left_semi")
-    return near.join(scans.live(own).select("id"), "id", "left_semi").orderBy("distance", "id").limit(k)
+        nearest = nearest.join(scans.live(own).select("id"), "id", "left_semi")
+    return nearest
 
 
 def entity_knn(embeddings: DataFrame, query: list[float], k: int = 5) -> DataFrame:

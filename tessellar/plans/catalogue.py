@@ -210,17 +210,17 @@ def _bm25(terms: list[str], how: str, limit: int) -> str:
 
 @plan(_bm25(["ther", "than"], "and", 25) + " select id, round(score, 6) as score from bm")
 def bm25(c):
-    return fulltext.bm25(c.memories, QUERY, 25).select("id", F.round("score", 6).alias("score"))
+    return fulltext.bm25(c.memories, QUERY, 25, index=c.text_index).select("id", F.round("score", 6).alias("score"))
 
 
 @plan(_bm25(["thorre", "the"], "or", 25) + " select id, round(score, 6) as score from bm")
 def bm25_alternatives(c):
-    return fulltext.bm25(c.memories, "thorre-the", 25).select("id", F.round("score", 6).alias("score"))
+    return fulltext.bm25(c.memories, "thorre-the", 25, index=c.text_index).select("id", F.round("score", 6).alias("score"))
 
 
 @plan(_bm25(["ther", "than"], "and", 20) + " select id, row_number() over (order by score desc, id) as rank, round(1 - 1.0 / (row_number() over (order by score desc, id)), 6) as distance, 'fts_fallback' as source from bm")
 def fts_fallback(c):
-    return search.fts_fallback(c.memories, QUERY, 20)
+    return search.fts_fallback(c.memories, QUERY, 20, c.text_index)
 
 
 @plan(f"with t as (select id, unnest({_TOKS}) as term from memories where deleted_at is null), p as (select term, id, count(*) as tf from t group by all) select term, count(*) as documents, cast(sum(tf) as bigint) as tokens from p group by term order by documents desc, term limit 40")
@@ -248,13 +248,13 @@ def _fused(k: int) -> str:
     + " select f.id, m.name, round(score, 9) as score, round(score / (2.0::double / 61), 9) as normalized_score, vec_rank, fts_rank, case when vec_rank is not null and fts_rank is not null then 'hybrid' when vec_rank is not null then 'knn' else 'fts' end as source, substr(m.body, 1, 300) as snippet from fu f join memories m on m.id = f.id"
 )
 def hybrid_rrf(c):
-    return search.hybrid(c.memories, c.memory_embeddings, query_vector(c), QUERY, 10)
+    return search.hybrid(c.memories, c.memory_embeddings, query_vector(c), QUERY, 10, index=c.text_index)
 
 
 @plan(_fused(40) + " select id, round(score, 9) as score from fu")
 def rrf_lists(c):
     near = fusion.ranked(vector.memory_knn(c.memory_embeddings, c.memories, query_vector(c), 20), "distance", "id").select("id", "rank")
-    found = fusion.ranked(fulltext.bm25(c.memories, QUERY, 20), F.desc("score"), "id").select("id", "rank")
+    found = fusion.ranked(fulltext.bm25(c.memories, QUERY, 20, index=c.text_index), F.desc("score"), "id").select("id", "rank")
     fused = fusion.fuse_lists(near.unionByName(found).withColumn("weight", F.lit(1.0)))
     return fused.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(40)
 
@@ -548,7 +548,7 @@ def fuzzy_entities(c):
 @plan()
 def research_merge(c):
     v = query_vector(c)
-    return search.research(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, [(q, v) for q, _ in search.decompose("ther than; thorre-the")], 10)
+    return search.research(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, [(q, v) for q, _ in search.decompose("ther than; thorre-the")], 10, index=c.text_index)
 
 
 # Shaping.
@@ -566,4 +566,4 @@ def byte_budget(c):
 
 
 # More queries register themselves.
-from tessellar.plans import writes  # noqa: E402, F401
+from tessellar.plans import ingests, writes  # noqa: E402, F401

@@ -61,10 +61,28 @@ def unique_names(files: DataFrame, taken: DataFrame | None) -> DataFrame:
         used = fresh if used is None else used.unionByName(fresh)
 
 
+def parsed_lines(lines: DataFrame) -> DataFrame:
+    """NDJSON memories (value, ...) with their fields beside them and ``error``: why a line is none, or null."""
+    read = F.from_json("value", f"{schema.BATCH_LINE}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = lines.where(F.trim("value") != "").withColumn("_line", read)
+    error = F.when(F.col("_line").isNull() | F.col("_line._bad").isNotNull(), "invalid JSON").when(F.col("_line.name").isNull(), "missing name")
+    return rows.select(*lines.columns, "_line.*", error.alias("error")).drop("_bad")
+
+
+def checked_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value, fields, error): all lines of NDJSON files but blank ones, with their places from 0, good or not."""
+    from tessellar.operators import maintain
+
+    # Blocks of a file are read in order, and lines within them.
+    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_in"))
+    placed = maintain.numbered(read.where(F.trim("value") != ""), ["file_path", "file_block_start", "_in"], "_n")
+    return parsed_lines(placed.select((F.col("_n") - 1).alias("line"), "value"))
+
+
 def batch_lines(spark: SparkSession, path: str) -> DataFrame:
-    """NDJSON memories with their entities and relationships; the type defaults to note."""
-    lines = spark.read.schema(schema.BATCH_LINE).json(path)
-    return lines.withColumn("type", F.coalesce("type", F.lit("note")))
+    """NDJSON memories with their entities and relationships, without lines that are none; the type defaults to note."""
+    good = parsed_lines(spark.read.text(path)).where("error is null")
+    return good.withColumn("type", F.coalesce("type", F.lit("note"))).drop("value", "error")
 
 
 def graph_input(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
