@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessellar.llm import byte_bpe, conversations, queries, spelling
+from tessellar.llm import byte_bpe, conversations, html_text, quality, queries, spelling
 
 # Byte-level BPE.
 
@@ -215,3 +216,72 @@ def test_occurrences(spark):
             word = run[:at] + run[at + 1 :] if h % 3 == 0 else run
             want += [word] if len(word) >= 6 else []
     assert sorted(r.word for r in spelling.occurrences(df, noise=3).collect()) == sorted(want)
+
+
+# Main text of pages, and the quality score by hand.
+
+LONG = [f"Paragraph {k}, which is long enough, tells of this; and of that, too. It goes on, and on, for a while." for k in range(6)]
+ARTICLE = "<article><h1>Head</h1>" + "".join(f"<p>{t}</p>" for t in LONG) + "</article>"
+
+
+def read(body):
+    return html_text.main_blocks(html_text.blocks_of(f"<html><body>{body}</body></html>"))
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar content", "post with-comments", "page header-fixed", "cookie-recipes", "related-work", "hidden-xs", "recommended-reading", "banner", "comments", "top-menu"])
+def test_a_wrapper_is_never_left_out_by_its_name(name):
+    said = [f"Reader {k} says something long; and more of it, too. It goes on, and on, for quite a while, they say." for k in range(30)]
+    junk = "".join(f'<div class="{c}">{"".join(f"<p>{t}</p>" for t in said)}</div>' for c in ("comments", "comment-list", "reader-comments thread", "ad-box", "sidebar2"))
+    inner = f"{ARTICLE}{junk}"
+    assert read(f'<nav><a href="/">x</a></nav><div class="{name}">{inner}</div><footer>f</footer>') == ["Head", *LONG]
+    assert read(f'<div id="{name}"><div class="banner"><div>{inner}</div></div></div>') == ["Head", *LONG]
+    # With neither a headline nor an article.
+    plain = "<div>" + "".join(f"<p>{t}</p>" for t in LONG) + "</div>"
+    assert read(f'<div class="{name}">{plain}</div><div class="ad">Buy, now. Or, then.</div>') == LONG
+
+
+def test_names_by_their_head_nouns():
+    out = "sidebar main-sidebar sidebarLeft comment-list ad ad-slot ads2 cookieNotice top_menu newsletter-form related-posts share-buttons page-footer"
+    kept = "has-sidebar no-ads with-comments header-fixed cookie-recipes related-work hidden-xs recommended-reading show-menu commentary address adventure menus-of-rome toggle-nav content"
+    assert all(html_text._says_junk(x) for x in out.split()) and not any(html_text._says_junk(x) for x in kept.split())
+    assert not html_text._says_junk("") and not html_text._says_junk("- _ 12")
+
+
+def test_the_ratios_take_away_what_no_name_does(spark):
+    teasers = "".join(f"<section><h3>More {k}</h3><p>Read on</p></section>" for k in range(4)) + "<div><p>All rights reserved</p></div>"
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").where("html like '%</article>%'").collect():
+        if len(html_text.blocks_of(r.html).blocks) < 6:
+            # Too short an article is as teasers are.
+            continue
+        own = html_text.main_blocks(html_text.blocks_of(r.html))
+        more = r.html.replace("</article>", f"</article>{teasers}")
+        assert len(html_text._kept(html_text.blocks_of(more))) == len(html_text._kept(html_text.blocks_of(r.html))) + 9
+        assert html_text.main_blocks(html_text.blocks_of(more)) == own
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        began = time.process_time()
+        for page in ("<div>x" * n, "<ul><li>x" * n, "<p><b>" * n + "</i>" * n, "<div><span>x</b>" * n, "<div>" * n + "x" + "</div>" * n):
+            html_text.main_blocks(html_text.blocks_of(page))
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] and took[1] < 20
+    assert read("<div>" * 500 + ARTICLE + "</div>" * 500) == ["Head", *LONG]
+
+
+def test_the_score_is_that_of_the_rules_by_hand(spark, documents):
+    rules = quality.RuleEnsemble(-0.3, ((1.5, (("n_words", True, 2.0), ("upper", False, 0.2))), (-2.25, (("stops", False, 0.05),)), (0.75, (("bangs", True, 0.0),)), (0.5, (("lines", True, 0.1), ("distinct", False, 0.9)))))
+    more = spark.createDataFrame([(1, "A B! C? 1.\n#x", "en", "s", 1, 1, "k")], documents.schema)
+    rows = quality.with_statistics(documents.unionByName(more)).withColumn("score", rules.score()).collect()
+    for r in rows:
+        text = r.text or ""
+        words = re.findall(r"[^ \t\n\r\x0b\x0c]+", text)
+        n, c = max(len(text), 1), max(len(words), 1)
+        marks = re.sub(r"[^\W\d_]+|[ \t\n\r\x0b\x0c]+", "", text)
+        held = {"n_words": math.log1p(len(words)), "upper": sum(x.isupper() for x in text) / n, "stops": marks.count(".") / c, "bangs": (marks.count("!") + marks.count("?")) / c, "lines": (text.count("\n") + 1) / c, "distinct": len(set(words)) / c}
+        assert all(abs(r[k] - v) < 1e-12 for k, v in held.items())
+        total = rules.intercept + sum(w for w, parts in rules.rules if all(held[s] > b if above else held[s] <= b for s, above, b in parts))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-12
