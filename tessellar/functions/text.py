@@ -221,10 +221,23 @@ def heuristic_description(body: Column, stem: Column | None = None) -> Column:
     return F.coalesce(F.substring(first, 1, 100), own, F.lit("ingested document"))
 
 
+def byte_prefix(c: Column, limit: Column) -> Column:
+    """The longest prefix of whole characters in ``limit`` bytes."""
+    data = F.encode(c, "UTF-8")
+
+    def ends(back: int) -> Column:
+        # A cut is between characters where the byte after it does not go on with one.
+        following = F.hex(F.substring(data, limit - back + 1, F.lit(1)))
+        return F.when(~following.between("80", "BF"), limit - back)
+
+    at = F.coalesce(*[ends(back) for back in range(4)], F.lit(0))
+    return F.when(F.octet_length(c) <= limit, c).otherwise(F.decode(F.substring(data, F.lit(1), at), "UTF-8"))
+
+
 def partition_description(description: Column, i: Column, n: Column, limit: int = 500) -> Column:
-    """The description with `` (part i/n)`` within the limit of characters."""
+    """The description with `` (part i/n)`` within the limit of bytes."""
     suffix = F.concat(F.lit(" (part "), i.cast("string"), F.lit("/"), n.cast("string"), F.lit(")"))
-    return F.concat(F.substring(description, F.lit(1), F.lit(limit) - F.length(suffix)), suffix)
+    return F.concat(byte_prefix(description, F.lit(limit) - F.octet_length(suffix)), suffix)
 
 
 # Boilerplate of descriptions, lower-cased.

@@ -95,6 +95,26 @@ def counts(**scans_: DataFrame) -> DataFrame:
     return out
 
 
+def all_counts(namespace: str, memories: DataFrame, bridge: DataFrame, memory_vectors: DataFrame, entities: DataFrame, entity_vectors: DataFrame, edges: DataFrame, dim: int, force: bool = False) -> DataFrame:
+    """(operation, backlog) of every operation in a namespace, by the scans that yield its work."""
+    m, e, r = (df.where(F.col("namespace") == namespace) for df in (memories, entities, edges))
+    described = e if "description" in e.columns else e.withColumn("description", F.lit(None).cast("string"))
+    alone = graph.shared_memories(bridge.join(e.select(F.col("id").alias("entity_id")), "entity_id", "left_semi")).join(edges.select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")), ["a", "b"], "left_anti")
+    live = scans.live(m)
+    return counts(
+        MemoryBindings=unbound_memories(m, bridge),
+        EntityDescriptions=undescribed_entities(described, force),
+        BodyEnrich=short_bodies(m),
+        ReEmbed=reembed(m, memory_vectors, e, entity_vectors, dim),
+        WeightCalibrate=heavy_edges(r, entities),
+        RelationReclassify=generic_edges(r, entities),
+        EntityConnect=alone,
+        EntityTypeValidate=e,
+        DescriptionEnrich=live.where(X.generic_description(F.col("description"))),
+        BodyExtract=live,
+    )
+
+
 def quality_estimate(entities: DataFrame, bridge: DataFrame, memories: DataFrame, sample: int = 100, snippets: int = 5, threshold: float = 0.12) -> DataFrame:
     """One row: over a sample of described entities, how many are grounded in their recent memories, the mean coverage, and half of each as quality."""
     from pyspark.sql import Window

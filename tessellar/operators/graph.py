@@ -81,6 +81,16 @@ def entities_by_relation(entities: DataFrame, edges: DataFrame, relation: str) -
     return entities.join(ids, "id", "left_semi").select("name").distinct().orderBy("name")
 
 
+def memory_context(memory: DataFrame, versions: DataFrame, bridge: DataFrame, entities: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A memory's row with its version (1 without any), its entities, and the edges that touch one of them with both names."""
+    top = versions.join(memory.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").groupBy(F.col("memory_id").alias("id")).agg(F.max("version").cast("bigint").alias("version"))
+    own = entities.join(seed_entities(bridge, memory), "id", "left_semi")
+    met = touching(edges, own)
+    names = entities.select("id", "name")
+    named = met.join(names.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id").join(names.select(F.col("id").alias("target_id"), F.col("name").alias("target")), "target_id")
+    return memory.join(top, "id", "left").withColumn("version", F.coalesce("version", F.lit(1).cast("bigint"))), own, named.select("source", "target", "relation", "weight")
+
+
 def within(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges whose endpoints both are among the entities."""
     ids = entities.select("id")
@@ -167,9 +177,10 @@ def reach_memories(edges: DataFrame, bridge: DataFrame, memories: DataFrame, see
     return hit.join(scans.live(memories).select("id"), "id", "left_semi").join(seeds.select("id"), "id", "left_anti")
 
 
-def related(edges: DataFrame, bridge: DataFrame, memories: DataFrame, seeds: DataFrame, max_hops: int = 2, floor: float | None = None, limit: int = 10) -> DataFrame:
-    """(id, name, hop, weight): memories near a seed memory in either direction, each by its nearest, then strongest entity."""
-    found = walk(neighbours(edges, bidirectional=True, floor=floor), seed_entities(bridge, seeds), max_hops).where("hop > 0").select(F.col("id").alias("entity_id"), F.col("hop").cast("bigint").alias("hop"), "weight")
+def related(edges: DataFrame, bridge: DataFrame, memories: DataFrame, seeds: DataFrame, max_hops: int = 2, floor: float | None = None, limit: int = 10, entity_seeds: DataFrame | None = None) -> DataFrame:
+    """(id, name, hop, weight): memories near a seed memory, or near seed entities, in either direction, each by its nearest, then strongest entity."""
+    start = seed_entities(bridge, seeds) if entity_seeds is None else seed_entities(bridge, seeds).unionByName(entity_seeds.select("id")).distinct()
+    found = walk(neighbours(edges, bidirectional=True, floor=floor), start, max_hops).where("hop > 0").select(F.col("id").alias("entity_id"), F.col("hop").cast("bigint").alias("hop"), "weight")
     best = bridge.join(found, "entity_id").groupBy("memory_id").agg(F.min(F.struct("hop", (-F.col("weight")).alias("w"))).alias("m"))
     rows = best.join(scans.live(memories).select(F.col("id").alias("memory_id"), "name"), "memory_id").join(seeds.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")
     return rows.select(F.col("memory_id").alias("id"), "name", F.col("m.hop").alias("hop"), F.round(-F.col("m.w"), 6).alias("weight")).orderBy("hop", F.desc("weight"), "id").limit(limit)

@@ -188,13 +188,15 @@ def normalized(entities: DataFrame, edges: DataFrame, bridge: DataFrame) -> tupl
     return kept, dedupe_edges(retargeted), moved(bridge, "entity_id").select(*bridge.columns).distinct()
 
 
-def reclassify(entities: DataFrame, kind_from: str | None, kind_to: str, names: list[str] | None = None) -> DataFrame:
+def reclassify(entities: DataFrame, kind_from: str | None, kind_to: str | None, names: list[str] | None = None, description: str | None = None) -> DataFrame:
+    """Entities of a type, of some names or all take another type, a description, or both."""
     hit = F.lit(True)
     if kind_from:
         hit = hit & (F.col("type") == kind_from)
     if names:
         hit = hit & F.col("name").isin(names)
-    return entities.withColumn("type", F.when(hit, F.lit(kind_to)).otherwise(F.col("type")))
+    new = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in (("type", kind_to), ("description", description)) if v is not None}
+    return entities.withColumns(new)
 
 
 def reclassify_relation(edges: DataFrame, entities: DataFrame, old: str, new: str, source_type: str | None = None, target_type: str | None = None) -> DataFrame:
@@ -229,6 +231,14 @@ def prune_relation(edges: DataFrame, relation: str) -> tuple[DataFrame, DataFram
     return edges.where(F.col("relation") != relation), graph.endpoints(hit).select("id").distinct()
 
 
+def prune_links(bridge: DataFrame, entities: DataFrame, namespace: str, name: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bridge, removed) without the links of an entity, or of all of a namespace."""
+    own = entities.where(F.col("namespace") == namespace)
+    own = own if name is None else own.where(F.col("name") == name)
+    ids = own.select(F.col("id").alias("entity_id"))
+    return bridge.join(ids, "entity_id", "left_anti").select(*bridge.columns), bridge.join(ids, "entity_id", "left_semi").agg(F.count(F.lit(1)).alias("removed"))
+
+
 def cleanup_orphans(entities: DataFrame, edges: DataFrame, bridge: DataFrame) -> DataFrame:
     return entities.join(graph.orphans(entities, edges, bridge).select("id"), "id", "left_anti")
 

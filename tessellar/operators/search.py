@@ -42,6 +42,15 @@ def expand(edges: DataFrame, bridge: DataFrame, memories: DataFrame, results: Da
     return rows.limit(limit) if limit else rows
 
 
+def hybrid_expanded(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge: DataFrame, query_vector: list[float], query: str, k: int = 10, entity_embeddings: DataFrame | None = None, max_hops: int = 2, floor: float = 0.3, most: int | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """Hybrid hits, and memories that the graph reaches from them and from the entities nearest to the query, beside them."""
+    hits = snapshot(hybrid(memories, embeddings, query_vector, query, k, **how), "hits")
+    seeds = vector.entity_knn(entity_embeddings, query_vector).select(F.col("entity_id").alias("id")) if entity_embeddings is not None else None
+    if hits.isEmpty():
+        return hits, expand(edges, bridge, memories, hits, 0, floor, most)
+    return hits, expand(edges, bridge, memories, hits, max_hops, floor, most, seeds)
+
+
 def recall(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge: DataFrame, query_vector: list[float], k: int = 10, max_hops: int = 2, floor: float = 0.3, namespaces: tuple[str, ...] = (), entity_embeddings: DataFrame | None = None, max_distance: float = 1.0) -> DataFrame:
     """Direct neighbours and what the graph reaches from them: (id, name, distance, score, hop, source).
 
@@ -97,6 +106,17 @@ def decompose(query: str, most: int = 7) -> list[tuple[str, str]]:
     return [(query, "original")]
 
 
+def manual_parts(spark, path: str, most: int = 7) -> list[tuple[str, str]]:
+    """(text, source) of a file of sub-queries, a line each in the file's order, without blank lines and comments."""
+    # A file that someone wrote by hand: one row.
+    text = spark.read.text(path, wholetext=True).first()
+    lines = [x.strip() for x in re.split(r"\r?\n", text.value if text else "")]
+    parts = [(x, "manual") for x in lines if x and not x.startswith("#")][:most]
+    if not parts:
+        raise ValueError(f"no sub-query in {path}")
+    return parts
+
+
 def research(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridge: DataFrame, parts: list[tuple[str, list[float]]], k: int = 10, max_hops: int = 2, floor: float = 0.3, decay: float = 0.7, most: int = 50, index: fulltext.Index | None = None) -> DataFrame:
     """(id, score, source, sub_queries): each part's hybrid hits and what the graph reaches from them, merged by best score.
 

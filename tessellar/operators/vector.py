@@ -144,6 +144,21 @@ def coverage(embeddings: DataFrame, memories: DataFrame, dim: int) -> DataFrame:
     return total.crossJoin(lack).crossJoin(lost).withColumn("coverage_pct", pct)
 
 
+def status(memories: DataFrame, memory_vectors: DataFrame, entities: DataFrame, entity_vectors: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame) -> DataFrame:
+    """(target, total, missing, orphans, coverage_pct) of live memories, entities and chunks: what has no vector of any width, and vectors of nothing."""
+    from tessellar.operators import scans
+
+    out = None
+    for target, rows, vectors, key in (("memory", scans.live(memories), memory_vectors, "memory_id"), ("entity", entities, entity_vectors, "entity_id"), ("chunk", chunks, chunk_vectors, "chunk_id")):
+        have = vectors.select(F.col(key).alias("id"), F.lit(True).alias("have")).distinct()
+        met = rows.select("id", F.lit(True).alias("row")).join(have, "id", "full_outer")
+        one = met.agg(F.count("row").alias("total"), F.count_if(F.col("have").isNull()).alias("missing"), F.count_if(F.col("row").isNull()).alias("orphans"))
+        pct = F.when(F.col("total") == 0, 100.0).otherwise(F.round((F.col("total") - F.col("missing")) * 100.0 / F.col("total"), 6))
+        one = one.select(F.lit(target).alias("target"), "*", pct.alias("coverage_pct"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def dims(embeddings: DataFrame) -> DataFrame:
     return embeddings.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
 

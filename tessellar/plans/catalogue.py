@@ -545,12 +545,6 @@ def fuzzy_entities(c):
     return resolve.suggest(c.entities, "nation-1")
 
 
-@plan()
-def research_merge(c):
-    v = query_vector(c)
-    return search.research(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, [(q, v) for q, _ in search.decompose("ther than; thorre-the")], 10, index=c.text_index)
-
-
 # Shaping.
 
 
@@ -566,4 +560,4 @@ def byte_budget(c):
 
 
 # More queries register themselves.
-from tessellar.plans import ingests, writes  # noqa: E402, F401
+from tessellar.plans import ingests, reads, writes  # noqa: E402, F401

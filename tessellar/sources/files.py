@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,22 @@ def text_tree(spark: SparkSession, folder: str, pattern: str = "*.md", recursive
     return files.select(path.alias("path"), F.col("value").alias("body"))
 
 
+def checked_prefix(prefix: str, max_len: int = 60, cap: int = 80) -> int:
+    """The characters that a name prefix leaves for the rest of a name; it must be the head of a slug, and shorter than a name may be."""
+    if not re.fullmatch("[a-z][a-z0-9-]*", prefix):
+        raise ValueError(f"no slug begins with {prefix!r}")
+    if len(prefix) >= cap:
+        raise ValueError(f"a prefix of {len(prefix)} leaves nothing of a name's {cap} characters")
+    return min(max_len, cap - len(prefix))
+
+
 def plan_ingest(files: DataFrame, taken: DataFrame | None = None, prefix: str = "", max_len: int = 60) -> DataFrame:
     """(path, name, description, body): names from file stems, made unique by suffixes in order of paths.
 
     A name is the base or the first ``base-1``, ``base-2`` ... that neither a taken name nor an earlier file has.
     """
+    if prefix:
+        checked_prefix(prefix, max_len)
     stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"(?<=.)\.[^.]*$", "")
     named = files.withColumn("base", F.concat(F.lit(prefix), X.kebab_name(stem, max_len - len(prefix)))).withColumn("description", X.heuristic_description(F.col("body"), stem))
     names = unique_names(named.select("path", "base"), taken.select("name") if taken is not None else None)
@@ -95,16 +108,19 @@ def graph_input(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def name_list(spark: SparkSession, path: str) -> DataFrame:
-    """(name): lines without comments and blanks, once each."""
-    lines = spark.read.text(path).select(F.trim("value").alias("name"))
-    return lines.where((F.col("name") != "") & ~F.col("name").startswith("#")).dropDuplicates(["name"])
+    """(name): lines without comments and blanks, once each, in the order of their first places."""
+    lines = spark.read.text(path).select(F.trim("value").alias("name"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    named = lines.where((F.col("name") != "") & ~F.col("name").startswith("#"))
+    return named.groupBy("name").agg(F.min(F.struct("file_path", "file_block_start", "at")).alias("first")).orderBy("first").select("name")
 
 
 def export_ndjson(memories: DataFrame, path: str, limit: int = 100_000) -> None:
-    """Live memories by name as NDJSON."""
-    from tessellar.operators import scans
+    """Live memories by name as NDJSON: files in order of names, and lines within them."""
+    from tessellar.operators import maintain, scans
 
-    scans.live(memories).orderBy("name", "id").limit(limit).write.mode("overwrite").json(path)
+    # Ranges are counted apart, so the limit needs no single task.
+    first = maintain.numbered(scans.live(memories), ["name", "id"], "_n").where(F.col("_n") <= limit)
+    first.repartitionByRange("_n").sortWithinPartitions("_n").drop("_n").write.mode("overwrite").json(path)
 
 
 def export_lines(memories: DataFrame, limit: int | None = None) -> DataFrame:
@@ -140,6 +156,23 @@ def graph_lines(entities: DataFrame, edges: DataFrame, form: str = "ndjson") ->
     return nodes.unionByName(named.select(F.format_string("  %s -->|%s| %s", a, "relation", b).alias("value")))
 
 
+#: First and last lines of a drawing.
+FRAME = {"dot": (["digraph memory {", '  node [shape=box, style="rounded"];'], ["}"]), "mermaid": (["graph LR"], []), "ndjson": ([], [])}
+
+
+def write_graph(entities: DataFrame, edges: DataFrame, path: str, form: str = "dot") -> None:
+    """A graph as a whole drawing: text files that, one after the other by name, are the frame with its nodes and then its edges."""
+    spark = entities.sparkSession
+    body = graph_lines(entities, edges, form).select(F.when(F.col("value").rlike(_EDGE_LINE[form]), 2).otherwise(1).alias("place"), "value")
+    head, foot = FRAME[form]
+    frame = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(3, i, x) for i, x in enumerate(foot)], "place int, line int, value string")
+    rows = body.select("place", F.lit(0).alias("line"), "value").unionByName(frame)
+    rows.repartitionByRange("place", "line", "value").sortWithinPartitions("place", "line", "value").select("value").write.mode("overwrite").text(path)
+
+
+_EDGE_LINE = {"dot": r"^  \S+ -> ", "mermaid": r"^  \S+ -->\|", "ndjson": '^[{]"kind":"edge"'}
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
