@@ -27,7 +27,20 @@ def snapshot(df: DataFrame, name: str = "snapshot", path: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that is dealt anew at most.
+SPREAD = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table as read, for costly work row by row: dealt over all cores where its files give fewer partitions than there are; large tables stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+    """A table as read, for costly work row by row: dealt over all cores where its files give fewer partitions than there are.
+
+    Tables that may be larger than ``SPREAD`` by their partitions stay as they are: a shuffle of whole texts would cost more than it gains.
+    """
+    n, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    return df.repartition(n) if parts < n and parts * _split_bytes(df.sparkSession) <= SPREAD else df
+
+
+def _split_bytes(spark: SparkSession) -> int:
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(size[-1:], 0)
+    return int(size[:-1] if unit else size) << unit

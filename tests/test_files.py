@@ -112,3 +112,17 @@ def test_an_empty_index(spark):
     assert fulltext.bm25(m, "word", 5).count() == 0
     one = spark.createDataFrame([(1, 2)], "memory_id long, entity_id long")
     assert graph.shared_memories(one).count() == 0
+
+
+def test_large_tables_are_not_dealt_anew(spark):
+    from tessellar import storage
+
+    df = spark.range(100).repartition(2)
+    assert storage.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, parts in (("600m", 2), ("1g", 2), ("512m", 4), ("1048576", 4), ("2048kb", 4)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert storage.spread(df).rdd.getNumPartitions() == parts
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
