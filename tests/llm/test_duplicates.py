@@ -220,3 +220,29 @@ def test_large_keys_lose_no_class(spark, documents, monkeypatch, few, many):
     want = {tuple(r) for r in passages.repeated(documents, few=10**6).collect()}
     got = {tuple(r) for r in passages.repeated(documents, few=few).collect()}
     assert {r[0] for r in got} == {r[0] for r in want} and {(r[0], r[3]) for r in got} == {(r[0], r[3]) for r in want}
+
+
+def test_blocks_count_alike_in_both_ways():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n, wide = int(rng.integers(2, 70)), 8
+        base = rng.integers(0, 10**6, 60)
+        s = []
+        for _ in range(n):
+            own = base[int(rng.integers(0, 20)) :].copy() if rng.random() < 0.7 else rng.integers(0, 200, int(rng.integers(wide, 60)))
+            own[rng.random(len(own)) < 0.1] = rng.integers(0, 10**6)
+            s.append(own.astype(np.uint64))
+        sets = [np.unique(x) for x in s]
+        flat, who = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+        values, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
+        col = np.full(len(values), -1)
+        col[seen > 1] = np.arange((seen > 1).sum())
+        col = col[at]
+        want = np.triu([[len(np.intersect1d(a, b)) for b in sets] for a in sets], 1)
+        for columns in (0, 1 << 14):
+            assert (np.triu(passages._shared_counts(col, who, n, 4, columns), 1) == want).all()
+        centre = np.array([int(rng.integers(0, len(x))) for x in s])
+        might = want >= wide // 2
+        might |= might.T
+        one, other = [passages._dense_pairs(col, who, s, sets, centre, might, 0.8, wide, dense) for dense in (0, 1 << 26)]
+        assert (one == other).all()
