@@ -9,14 +9,17 @@ holds about ``BLOCK`` rows; every row is in one cell, once, and a cell too full
 A task builds the kd-tree of a block and queries stream past it.  A query
 walks a block's leaves by rising projected distance and verifies their vectors; it stops when, by the chi-square law, a vector nearer than
 the k-th found would lie in a visited leaf with probability ``sure``.  First each query visits its own cell; the k-th
-found there bounds, by the same law, which other cells it visits at all.
+found there bounds, by the same law, which other cells it visits at all.  It visits those in rounds by rising distance, few at first, and
+each round's finds tighten the bound of the next, so cells that a near find rules out never get a copy of the query.
 
 Vectors of one direction are one entry of the index with their k + 1 smallest ids (counted out before any shuffle by a
-limited window), so a vector that a third of all rows share, or multiples of, costs no more than one.
+limited window), so a vector that a third of all rows share, or multiples of, costs no more than one.  Scores are
+cosines of the rows' own vectors: where rows of one direction differ, those of the last k are fetched and computed anew.
 
 Edge cases: vectors null, empty, zero or with null or non-finite components take
 no part, nor do null ids; vectors of other widths are searched among their own;
-repeated rows of one id are one row where the direction is equal; scores that differ by less than 1e-12 are ties and go to the smaller id;
+repeated rows of one id are one row, the smallest, where the direction is equal, and else different rows (each a query, each with its ranking);
+scores that round to the same twelve digits are ties and go to the smaller id;
 fewer candidates than k are all returned; an empty table gives an empty result; extra columns are left out.
 """
 
@@ -27,13 +30,15 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small, stored
 
 #: Vectors of an index block, queries that a task takes past it, rows that cells are fitted on, and cells at most: every task has their table.
 BLOCK, CHUNK, SAMPLE, CELLS = 16_384, 65_536, 20_000, 16_384
 LEAF = 64
 #: Digits after which directions and scores are equal.
 DIGITS = 12
+#: Cells that a query visits in the first round beyond its own; each further round goes four times as far.
+NEXT = 4
 
 
 def _valid(rows: DataFrame) -> DataFrame:
@@ -55,6 +60,14 @@ def _direction() -> tuple[Column, Column]:
     return scaled, _with(norm, lambda n: F.transform("scaled", lambda x: F.round(x / n, DIGITS) + F.lit(0.0)))
 
 
+def cosines(u, v):
+    """The cosine of each row of ``u`` with that of ``v``; scaled by powers of two, which change no digit, so squares stay finite."""
+    import numpy as np
+
+    u, v = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) for x in (u, v))
+    return (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1)))
+
+
 def chi_square(x, m: int):
     """The chi-square distribution function for even ``m``: a finite sum."""
     import numpy as np
@@ -239,7 +252,7 @@ def _pointed(rows: DataFrame, m: int, seed: int, splits=()) -> DataFrame:
 
 
 def _found(index: DataFrame, asked: DataFrame, k: int, m: int, sure: float, seed: int) -> DataFrame:
-    """(q, ids, score): for each (q, embedding, width, cell, far) of ``asked`` the k best entries of its cell's blocks.
+    """(q, d, ids, alike, score): for each (q, embedding, width, cell, far) of ``asked`` the k best entries of its cell's blocks.
 
     A block goes once to each ``CHUNK`` of the queries of its cell, ahead of them.
     """
@@ -247,15 +260,15 @@ def _found(index: DataFrame, asked: DataFrame, k: int, m: int, sure: float, seed
     visits = asked.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
     keys = ["width", "cell", "sub", "part"]
     left = index.join(visits, ["width", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select(*keys, F.lit(None).cast("long").alias("q"), "entry", "ids", "embedding", F.lit(None).cast("double").alias("far"))
+    left = left.select(*keys, F.lit(None).cast("long").alias("q"), "entry", "d", "ids", "alike", "embedding", F.lit(None).cast("double").alias("far"))
     right = asked.join(visits, ["width", "cell"]).join(blocks, ["width", "cell"]).withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int"))
-    right = right.select(*keys, "q", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("array<long>").alias("ids"), "embedding", "far")
+    right = right.select(*keys, "q", F.lit(None).cast("long").alias("entry"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("boolean").alias("alike"), "embedding", "far")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        now, rows, ids, block = None, [], [], None
+        now, rows, named, block = None, [], [], None
         for b in batches:
             where = np.stack([b.column(c).to_numpy() for c in keys], 1)
             e = b.column("embedding")
@@ -263,13 +276,13 @@ def _found(index: DataFrame, asked: DataFrame, k: int, m: int, sure: float, seed
             cut = np.flatnonzero(np.append(True, (where[1:] != where[:-1]).any(1)))
             for lo, hi in zip(cut, np.append(cut[1:], len(where))):
                 if now is None or (where[lo] != now).any():
-                    now, rows, ids, block = where[lo], [], [], None
+                    now, rows, named, block = where[lo], [], [], None
                 asks = np.asarray(q.slice(lo, hi - lo).is_valid())
                 n = int(np.argmax(np.append(asks, True)))
                 vectors = values[edges[lo] : edges[hi]].reshape(hi - lo, -1)
                 if n:
                     rows.append(vectors[:n])
-                    ids += b.column("ids").slice(lo, n).to_pylist()
+                    named += zip(*(b.column(c).slice(lo, n).to_pylist() for c in ("d", "ids", "alike")))
                 if n == hi - lo:
                     continue
                 if block is None:
@@ -281,12 +294,18 @@ def _found(index: DataFrame, asked: DataFrame, k: int, m: int, sure: float, seed
                     at, _ = np.nonzero(r >= 0)
                     r = r[r >= 0]
                     # The measure itself, on the original vectors.
-                    u, v = x[at], block.vectors[r]
-                    score = (u * v).sum(1) / (np.sqrt((u * u).sum(1)) * np.sqrt((v * v).sum(1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 128][at]), pa.array([ids[j] for j in r], pa.list_(pa.int64())), pa.array(score)], ["q", "ids", "score"])
+                    score = cosines(x[at], block.vectors[r])
+                    d, ids, alike = zip(*(named[j] for j in r)) if len(r) else ((), (), ())
+                    yield pa.RecordBatch.from_arrays([pa.array(names[i : i + 128][at]), pa.array(d, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(alike, pa.bool_()), pa.array(score)], ["q", "d", "ids", "alike", "score"])
 
     both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, F.col("q").asc_nulls_first(), "entry")
-    return both.drop("entry").mapInArrow(run, "q long, ids array<long>, score double")
+    return both.drop("entry").mapInArrow(run, "q long, d long, ids array<long>, alike boolean, score double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best entries of each query."""
+    w = Window.partitionBy("q").orderBy(F.desc(F.round("score", DIGITS)), F.get("ids", F.lit(0)))
+    return found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, sure: float = 0.97, seed: int = 11, block: int = BLOCK) -> DataFrame:
@@ -297,17 +316,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, sure: f
     scaled, direction = _direction()
 
     def directed(df: DataFrame) -> DataFrame:
-        return _valid(df).withColumn("scaled", scaled).withColumn("direction", direction).drop("scaled")
+        return _valid(df).withColumn("scaled", scaled).withColumn("direction", direction).drop("scaled").withColumn("d", F.xxhash64("direction"))
 
     valid = stored(directed(rows), "vectors")
     # One entry per direction, with the k + 1 smallest of its ids.
-    w = Window.partitionBy("direction").orderBy("vec_id", "embedding")
-    first = valid.dropDuplicates(["vec_id", "direction"]).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
-    entries = first.groupBy("direction").agg(F.min(F.struct("vec_id", "embedding")).alias("x"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = stored(entries.select(F.col("x.vec_id").alias("entry"), "ids", "x.embedding", F.size("x.embedding").alias("width")), "entries")
-    asked = stored(directed(queries).withColumnRenamed("vec_id", "query_id"), "asked")
-    wanted = asked.groupBy("direction").agg(F.min(F.struct("query_id", "embedding")).alias("x")).select("direction", F.col("x.query_id").alias("q"), "x.embedding", F.size("x.embedding").alias("width"))
-    wanted = stored(wanted.withColumn("q", F.xxhash64("direction")), "wanted")
+    w = Window.partitionBy("direction").orderBy("vec_id")
+    first = valid.groupBy("vec_id", "direction", "d").agg(F.min("embedding").alias("embedding")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    alike = (F.min("embedding") == F.max("embedding")).alias("alike")
+    entries = first.groupBy("direction", "d").agg(F.min(F.struct("vec_id", "embedding")).alias("x"), F.sort_array(F.collect_list("vec_id")).alias("ids"), alike)
+    entries = stored(entries.select(F.col("x.vec_id").alias("entry"), "d", "ids", "alike", "x.embedding", F.size("x.embedding").alias("width")), "entries")
+    asked = directed(queries).groupBy(F.col("vec_id").alias("query_id"), "direction", F.col("d").alias("q")).agg(F.min("embedding").alias("embedding"))
+    asked = stored(asked, "asked")
+    wanted = asked.groupBy("direction", "q").agg(F.min(F.struct("query_id", "embedding")).alias("x"), alike)
+    wanted = stored(wanted.select("q", F.col("alike").alias("asked_alike"), "x.embedding", F.size("x.embedding").alias("width")), "wanted")
 
     n = entries.count()
     splits = ()
@@ -326,30 +347,70 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, m: int = 8, sure: f
         index = index.join(sizes, ["width", "cell"]).withColumn("sub", F.pmod(F.xxhash64("entry"), F.col("subs")).cast("int")).drop("subs")
     else:
         index = index.withColumn("sub", F.lit(0))
-    own = _pointed(wanted, m, seed, splits).withColumn("far", F.lit(None).cast("double"))
+    own = _pointed(wanted.drop("asked_alike"), m, seed, splits).withColumn("far", F.lit(None).cast("double"))
     if splits:
         own = stored(own, "own")
     # A query of a width that its cell lacks finds nothing there and visits all cells.
     found = _found(index, own, k + 1, m, sure, seed)
     if splits:
-        found = stored(found, "found")
-        last = found.groupBy("q").agg(F.sort_array(F.collect_list("score"), False).alias("c")).select("q", F.get("c", F.lit(k)).alias("c"))
-        bounds = own.join(last, "q", "left").select("q", "embedding", "width", "point", "cell", (F.lit(2.0) - F.lit(2.0) * F.col("c")).alias("far"))
-        found = found.unionByName(_found(index, _visits(index, bounds, m, sure), k + 1, m, sure, seed))
+        found, boxes = stored(found, "found"), _boxes(index, m)
+        lo, hi = 0, NEXT
+        while lo < len(boxes):
+            last = found.groupBy("q").agg(F.sort_array(F.collect_list("score"), False).alias("c")).select("q", F.get("c", F.lit(k)).alias("c"))
+            bounds = own.select("q", "width", "point", "cell").join(last, "q", "left").withColumn("far", F.lit(2.0) - F.lit(2.0) * F.col("c")).drop("c")
+            visits = stored(_visits(bounds, boxes, m, sure, lo, hi), "visits")
+            # Cells come by rising distance, so who visits none of a round visits none later.
+            if visits.isEmpty():
+                break
+            more = _found(index, visits.join(own.select("q", "embedding"), "q"), k + 1, m, sure, seed)
+            found = stored(_best(found.unionByName(more), k + 1), "found")
+            lo, hi = hi, 4 * hi
     # An entry stands for its k + 1 smallest ids: enough to fill k places beside the query's own.
-    ids = found.select("q", "score", F.explode("ids").alias("vec_id"))
+    ids = found.select("q", "d", "alike", "score", F.explode("ids").alias("vec_id"))
     top = Window.partitionBy("q").orderBy(F.desc(F.round("score", DIGITS)), "vec_id")
-    best = ids.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("best"))
-    each = asked.select("query_id", F.xxhash64("direction").alias("q")).distinct().join(best, "q")
+    best = ids.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", "d", "alike"))).alias("best"))
+    best = best.join(wanted.select("q", "asked_alike"), "q")
+    each = asked.select("query_id", "q").join(best, "q")
     mine = F.filter("best", lambda s: s["vec_id"] != F.col("query_id"))
-    return each.select("query_id", F.posexplode(F.slice(mine, 1, k)).alias("i", "s")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("s.vec_id").alias("vec_id"), F.col("s.score").alias("score"))
+    each = each.select("query_id", "q", "asked_alike", F.posexplode(F.slice(mine, 1, k)).alias("i", "s"))
+    ranked = each.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "s.vec_id", "s.score", "q", "s.d", (F.col("asked_alike") & F.col("s.alike")).alias("alike"))
+    ranked = stored(ranked, "ranked")
+    names = ["query_id", "rank", "vec_id", "score"]
+    return ranked.where("alike").select(names).unionByName(_rescored(ranked.where("not alike"), asked, valid).select(names))
+
+
+def _rescored(ranked: DataFrame, asked: DataFrame, valid: DataFrame) -> DataFrame:
+    """``ranked`` with the cosines of the rows' own vectors, where rows of one direction differ."""
+    if ranked.isEmpty():
+        return ranked
+    ours = asked.join(small(ranked.select("query_id", "q").distinct()), ["query_id", "q"]).select("query_id", "q", F.col("embedding").alias("u"))
+    theirs = valid.join(small(ranked.select("vec_id", "d").distinct()), ["vec_id", "d"]).groupBy("vec_id", "d").agg(F.min("embedding").alias("v"))
+    # A vector that very many queries found is in a small table or in a join that Spark splits.
+    both = ranked.drop("score").join(ours, ["query_id", "q"]).join(small(stored(theirs, "theirs"), 4096), ["vec_id", "d"])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            score = np.zeros(b.num_rows)
+            u, v = (b.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v"))
+            for i in range(b.num_rows):
+                score[i] = cosines(u[i][None], v[i][None])[0]
+            yield pa.RecordBatch.from_arrays([b.column("query_id"), b.column("rank"), b.column("vec_id"), pa.array(score)], ["query_id", "rank", "vec_id", "score"])
+
+    return both.select("query_id", "rank", "vec_id", "u", "v").mapInArrow(run, "query_id long, rank int, vec_id long, score double")
 
 
-def _visits(index: DataFrame, bounds: DataFrame, m: int, sure: float) -> DataFrame:
-    """(q, embedding, width, cell, far): the other cells where something nearer than a query's ``far`` may lie."""
+def _boxes(index: DataFrame, m: int) -> list[tuple]:
+    """(width, cell, lows, highs) of each cell's points."""
     ends = [F.min(F.get("point", F.lit(i))).alias(f"l{i}") for i in range(m)] + [F.max(F.get("point", F.lit(i))).alias(f"h{i}") for i in range(m)]
     # A row per cell and width.
-    boxes = [(r["width"], r["cell"], [r[f"l{i}"] for i in range(m)], [r[f"h{i}"] for i in range(m)]) for r in index.groupBy("width", "cell").agg(*ends).collect()]
+    return [(r["width"], r["cell"], [r[f"l{i}"] for i in range(m)], [r[f"h{i}"] for i in range(m)]) for r in index.groupBy("width", "cell").agg(*ends).collect()]
+
+
+def _visits(bounds: DataFrame, boxes: list[tuple], m: int, sure: float, lo: int, hi: int) -> DataFrame:
+    """(q, width, cell, far): of the other cells by rising distance, numbers ``lo`` to ``hi``, those where something nearer than a query's ``far`` may lie."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -360,8 +421,14 @@ def _visits(index: DataFrame, bounds: DataFrame, m: int, sure: float) -> DataFra
             for i in range(0, b.num_rows, 256):
                 x = b.slice(i, 256)
                 points = np.stack(x.column("point").to_numpy(zero_copy_only=False))
-                gap = np.maximum(np.maximum(low[None] - points[:, None], points[:, None] - high[None]), 0)
-                near, width = (gap * gap).sum(2), x.column("width").to_numpy()
+                near = np.zeros((len(points), len(cells)))
+                for d in range(m):
+                    own = points[:, d, None]
+                    near += np.maximum(np.maximum(low[None, :, d] - own, own - high[None, :, d]), 0) ** 2
+                width = x.column("width").to_numpy()
+                near[(widths[None] != width[:, None]) | (cells[None] == x.column("cell").to_numpy()[:, None])] = np.inf
+                order = np.argsort(near, axis=1, kind="stable")[:, lo:hi]
+                near = np.take_along_axis(near, order, 1)
                 far = x.column("far").to_numpy(zero_copy_only=False).astype(float)
                 far = np.where(np.isnan(far), np.inf, np.maximum(far, 1e-12))
                 free = np.minimum(m, np.maximum(2, width // 2 * 2))
@@ -370,9 +437,9 @@ def _visits(index: DataFrame, bounds: DataFrame, m: int, sure: float) -> DataFra
                     at = free == f
                     with np.errstate(invalid="ignore"):
                         go[at] = (near[at] <= 1e-9) | ~np.isfinite(far[at])[:, None] | (chi_square(near[at] / far[at][:, None], int(f)) < sure)
-                go &= (widths[None] == width[:, None]) & (cells[None] != x.column("cell").to_numpy()[:, None])
+                go &= np.isfinite(near)
                 q, c = np.nonzero(go)
                 q_ = pa.array(q)
-                yield pa.RecordBatch.from_arrays([x.column("q").take(q_), x.column("embedding").take(q_), x.column("width").take(q_), pa.array(cells[c].astype(np.int32)), pa.array(np.where(np.isinf(far[q]), np.nan, far[q]))], ["q", "embedding", "width", "cell", "far"])
+                yield pa.RecordBatch.from_arrays([x.column("q").take(q_), x.column("width").take(q_), pa.array(cells[order[q, c]].astype(np.int32)), pa.array(np.where(np.isinf(far[q]), np.nan, far[q]))], ["q", "width", "cell", "far"])
 
-    return bounds.mapInArrow(run, "q long, embedding array<double>, width int, cell int, far double")
+    return bounds.mapInArrow(run, "q long, width int, cell int, far double")

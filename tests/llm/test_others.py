@@ -231,6 +231,36 @@ def test_neighbours_in_many_cells(spark):
     assert sum(hits) / len(hits) >= 0.9
 
 
+def test_neighbours_scores_are_of_the_rows_own_vectors(spark):
+    """Rows of one direction: each score is, to the last digit, the cosine of the two rows; very large and small components, too."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((30, 16))
+    rows = [(i, (base[i % 30] * (1 + i * 0.37)).tolist()) for i in range(300)] + [(400 + i, (base[i] * 10.0 ** (60 * i - 180)).tolist()) for i in range(7)]
+    rows += [(500, (base[3] * 1e300).tolist()), (550, (base[3] * 1e-300).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {i: np.array(e) for i, e in rows}
+    found = neighbours.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    assert len(found) == 5 * sum(i % 50 == 0 for i in own)
+    for r in found:
+        assert r.score == neighbours.cosines(own[r.query_id][None], own[r.vec_id][None])[0]
+        u, v = (x / np.abs(x).max() for x in (own[r.query_id], own[r.vec_id]))
+        assert abs(r.score - u @ v / (np.linalg.norm(u) * np.linalg.norm(v))) < 1e-15 * 16
+    assert {r.vec_id for r in found if r.query_id == 550} == {3, 33, 63, 93, 123}
+
+
+def test_neighbours_without_clusters(spark):
+    """Nothing is near: queries go on over many cells in rounds, each cell once."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(16).tolist()) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), block=64).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute_nearest(rows)
+    assert set(got) == set(want) and all(len(set(v)) == 5 for v in got.values())
+    assert np.mean([len(set(v) & set(want[q])) / 5 for q, v in got.items()]) >= 0.9
+
+
 def test_chi_square():
     from math import exp
 
