@@ -554,9 +554,9 @@ def shape_pipeline(c):
     return shape.shape(rows, ["type ~ O", "namespace != archive"], sort="updated_at", descending=True, dedupe="type", limit=5, select=["id", "type", "none.such"])
 
 
-@plan("with p as (select id, name from memories order by id limit 100), s as (select *, sum(strlen('{\"id\":' || id || ',\"name\":\"' || name || '\"}') + 1) over (order by id) as s from p) select id, name from s where s + 1 <= 1000")
+@plan("with s as (select id, name, sum(strlen('{\"id\":' || id || ',\"name\":\"' || name || '\"}') + 1) over (order by id) as s from memories) select id, name from s where s + 1 <= 1000")
 def byte_budget(c):
-    return shape.byte_budget(c.memories.select("id", "name").orderBy("id").limit(100), [F.col("id")], 1000)
+    return shape.byte_budget(c.memories.select("id", "name"), [F.col("id")], 1000)
 
 
 # More queries register themselves.
