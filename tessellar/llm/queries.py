@@ -11,7 +11,7 @@ from .common import spread
 URL_RULES = [
     url_filter.Rule("block", "com", "/en/"),
     url_filter.Rule("allow", "example.com", "/en/7"),
-    url_filter.Rule("block", "net", "/de/"),
+    url_filter.Rule("allow", "net", "/de/"),
     url_filter.Rule("block", "example.net", "/de/8"),
     url_filter.Rule("block", "org", "/es/"),
 ]
