@@ -387,17 +387,21 @@ def extract_urls(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """The set of three-character windows around each character, with NUL beyond the ends."""
-    n = F.length(c)
+    """The set of three-character windows around each character, with NUL beyond the ends; in one pass over the text."""
     padded = F.concat(F.lit("\0"), c, F.lit("\0"))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(padded, i, F.lit(3)))))
+    # Each match takes one character and looks at the two after it.
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 def trigram_jaccard(a: Column, b: Column) -> Column:
-    ta, tb = trigrams(a), trigrams(b)
-    both = F.size(F.array_intersect(ta, tb)).cast("double")
-    union = F.size(F.array_union(ta, tb))
-    return F.when(union == 0, 1.0).otherwise(both / union)
+    return set_jaccard(trigrams(a), trigrams(b))
+
+
+def set_jaccard(ta: Column, tb: Column) -> Column:
+    """Of two sets as arrays; those of two empty texts are equal."""
+    both = F.size(F.array_intersect(ta, tb))
+    union = F.size(ta) + F.size(tb) - both
+    return F.when(union == 0, 1.0).otherwise(both.cast("double") / union)
 
 
 def preservation(original: Column, rewritten: Column, threshold: float = 0.7) -> Column:
@@ -407,7 +411,11 @@ def preservation(original: Column, rewritten: Column, threshold: float = 0.7) ->
 
 
 def grounding_coverage(candidate: Column, evidence: Column) -> Column:
-    ta, tb = trigrams(candidate), trigrams(evidence)
+    return set_coverage(trigrams(candidate), trigrams(evidence))
+
+
+def set_coverage(ta: Column, tb: Column) -> Column:
+    """The share of the first set that the second holds."""
     return F.when((F.size(ta) == 0) | (F.size(tb) == 0), 0.0).otherwise(F.size(F.array_intersect(ta, tb)) / F.size(ta))
 
 

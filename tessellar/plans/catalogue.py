@@ -506,7 +506,9 @@ def circuit_breaker(c):
 def trigram_jaccard(c):
     a = c.memories.select("id", F.col("body").alias("x"))
     b = c.memories.select((F.col("id") - 1).alias("id"), F.col("body").alias("y"))
-    return a.join(b, "id").select("id", F.round(X.trigram_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"), F.round(X.grounding_coverage(F.col("x"), F.col("y")), 6).alias("coverage"))
+    # A set is made once for both measures.
+    sets = a.join(b, "id").select("id", X.trigrams(F.col("x")).alias("x"), X.trigrams(F.col("y")).alias("y"))
+    return sets.select("id", F.round(X.set_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"), F.round(X.set_coverage(F.col("x"), F.col("y")), 6).alias("coverage"))
 
 
 @plan("with t as (select page_id, 'see (' || url || ') and <' || url || '> é ' || url as t from pages) select page_id, unnest(regexp_extract_all(t, 'https?://[^\\s)\\]}\"''<]*')) as url from t")
