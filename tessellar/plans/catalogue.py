@@ -191,7 +191,9 @@ def coverage(c):
 
 @plan("select memory_id, list_transform(embedding[1:8], lambda x: round(x::double, 6)) as head from memory_embeddings")
 def mrl_truncate(c):
-    return c.memory_embeddings.select("memory_id", F.transform(vector.truncated(F.col("embedding"), 8), lambda x: F.round(x.cast("double"), 6)).alias("head"))
+    # Spark's round drops the sign of what rounds to zero.
+    rounded = lambda x: F.signum(x.cast("double")) * F.round(F.abs(x.cast("double")), 6)
+    return c.memory_embeddings.select("memory_id", F.transform(vector.truncated(F.col("embedding"), 8), rounded).alias("head"))
 
 
 # Full text and fusion.
