@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from tessellar.functions import text as X
 from tessellar.operators import scans
+from tessellar.operators.chunking import _let
 from tessellar.storage import shared_path, snapshot
 
 K1, B = 1.2, 0.75
+#: Ids up to which a join sends them to all tasks.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -60,22 +63,46 @@ class Index:
     totals: DataFrame
 
 
+def _counted(toks: Column) -> Column:
+    """(term, tf) of an array of tokens; one without tokens has none."""
+
+    def runs(toks: Column) -> Column:
+        # Equal tokens stand together in the sorted array: a term's count is how far on the next one begins.
+        at = F.filter(F.sequence(F.lit(1), F.size(toks)), lambda i: (i == 1) | (F.get(toks, i - 1) != F.get(toks, i - 2)))
+        return _let(at, lambda at: F.zip_with(at, F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(F.size(toks) + 1)), lambda i, j: F.struct(F.get(toks, i - 1).alias("term"), (j - i).cast("bigint").alias("tf"))))
+
+    return F.when(F.size(toks) > 0, _let(F.sort_array(toks), runs))
+
+
 def build_index(memories: DataFrame, path: str | None = None) -> Index:
-    """Read and tokenize every live memory once, and write its terms.  A term of very many memories spreads over several files."""
+    """Read and tokenize every live memory once, and write its terms, for many searches.  A term of very many memories spreads over several files."""
     path = path or shared_path(memories.sparkSession, "text-index")
-    docs = document_tokens(memories).withColumn("dl", F.size("toks").cast("bigint"))
-    # Equal tokens stand together in the sorted array: a term's count is how far on the next one begins.
-    words = docs.withColumn("toks", F.array_sort("toks")).withColumn("at", F.when(F.col("dl") > 0, F.filter(F.sequence(F.lit(1), F.greatest("dl", F.lit(1)).cast("int")), lambda i: (i == 1) | (F.get("toks", i - 1) != F.get("toks", i - 2)))))
-    counted = F.zip_with("at", F.concat(F.slice("at", 2, F.size("at")), F.array((F.col("dl") + 1).cast("int"))), lambda i, j: F.struct(F.get("toks", i - 1).alias("term"), (j - i).cast("bigint").alias("tf")))
-    # A memory without tokens counts in the totals alone.
-    rows = words.select("id", "namespace", "type", "dl", F.explode_outer(F.when(F.col("dl") > 0, counted)).alias("w")).select("w.term", "id", "w.tf", "dl", "namespace", "type")
-    laid = snapshot(rows, "terms")
-    laid.where("term is not null").repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
-    first = F.col("term").isNull()
-    laid.agg(F.count_distinct("id").alias("n"), F.coalesce(F.sum(F.when(first, 0).otherwise(F.col("tf"))), F.lit(0)).cast("bigint").alias("tokens")).write.parquet(f"{path}/totals")
+    laid = snapshot(_terms(memories, lambda toks: toks), "terms")
+    rows = laid.where("term is not null").drop("first")
+    rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+    _totals(laid).write.parquet(f"{path}/totals")
     return open_index(memories, path)
 
 
+def index_for(memories: DataFrame, *queries: str) -> Index:
+    """An index of the terms alone that some queries ask for: every live memory is tokenized once, and no term is shuffled."""
+    wanted = list(dict.fromkeys(_term(t) for q in queries for t in parse_query(q).terms))
+    asked = lambda w: reduce(lambda a, b: a | b, [w.startswith(t) for t in wanted], F.lit(False))
+    laid = snapshot(_terms(memories, lambda toks: F.filter(toks, asked)), "terms")
+    return Index(laid.where("term is not null").drop("first"), _totals(laid))
+
+
+def _terms(memories: DataFrame, kept) -> DataFrame:
+    """(first, term, id, tf, dl, namespace, type) of the tokens that ``kept`` leaves; a memory without any has one row, without a term."""
+    docs = document_tokens(memories).withColumn("dl", F.size("toks").cast("bigint"))
+    rows = docs.select("id", "namespace", "type", "dl", F.posexplode_outer(_counted(kept(F.col("toks")))).alias("i", "w"))
+    return rows.select((F.coalesce("i", F.lit(0)) == 0).alias("first"), "w.term", "id", "w.tf", "dl", "namespace", "type")
+
+
+def _totals(laid: DataFrame) -> DataFrame:
+    return laid.agg(F.count_distinct("id").alias("n"), F.coalesce(F.sum(F.when(F.col("first"), F.col("dl"))), F.lit(0)).cast("bigint").alias("tokens"))
+
+
 def open_index(memories: DataFrame, path: str) -> Index:
     spark = memories.sparkSession
     kind = memories.schema["id"].dataType.simpleString()
@@ -83,7 +110,7 @@ def open_index(memories: DataFrame, path: str) -> Index:
 
 
 def bm25(memories: DataFrame, query: str, limit: int, namespaces: tuple[str, ...] = (), kind: str | None = None, index: Index | None = None) -> DataFrame:
-    """(id, score), best first, ties by id; of some namespaces, or of all.  Without an index one is built.
+    """(id, score), best first, ties by id; of some namespaces, or of all.  Without an index the memories are read through once.
 
     Corpus statistics are over all live memories.
     """
@@ -91,7 +118,7 @@ def bm25(memories: DataFrame, query: str, limit: int, namespaces: tuple[str, ...
     terms = list(dict.fromkeys(_term(t) for t in match.terms))
     if not terms:
         return memories.select("id", F.lit(0.0).alias("score")).limit(0)
-    index = index or build_index(memories)
+    index = index or index_for(memories, query)
     # Prefixes reach the scan; a term counts for each of the query's that it begins with.
     begins = [F.col("term").startswith(t) for t in terms]
     read = index.postings.where(reduce(lambda a, b: a | b, begins))

@@ -122,7 +122,7 @@ def research(memories: DataFrame, embeddings: DataFrame, edges: DataFrame, bridg
 
     A reached memory scores the mean of the part's hits, decayed by its hop; of equal scores the earliest part's holds.
     """
-    out, index = None, index or fulltext.build_index(memories)
+    out, index = None, index or fulltext.index_for(memories, *[q for q, _ in parts])
     for i, (query, query_vector) in enumerate(parts):
         # At most k rows, read several times below.
         hits = snapshot(hybrid(memories, embeddings, query_vector, query, k, index=index).select("id", F.col("normalized_score").alias("score"), "source"), "hits")

@@ -86,7 +86,7 @@ def _expanded(first: str) -> str:
 @plan(_expanded(_fused(10).removeprefix("with ") + ", d0 as (select id from fu)") + " select h.id, m.name, cast(h.hop as bigint) as hop, round(1 - 1.0 / (h.hop + 1), 6) as distance, 'graph' as source from hit h join memories m on m.id = h.id where m.deleted_at is null and h.id not in (select id from d0)")
 def hybrid_graph(c):
     """What the graph reaches from hybrid hits and from the entities nearest to the query."""
-    return search.hybrid_expanded(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, query_vector(c), QUERY, 10, c.entity_embeddings, index=c.text_index)[1]
+    return search.hybrid_expanded(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, query_vector(c), QUERY, 10, c.entity_embeddings)[1]
 
 
 @plan(
@@ -100,7 +100,7 @@ def recall_entities(c):
 
 @plan(_fused(40).replace("1.0::double / (60 + vec_rank)", "0.3::double / (60 + vec_rank)").replace("1.0::double / (60 + fts_rank)", "1.7::double / (60 + fts_rank)") + " select f.id, m.name, round(score, 9) as score, round(score / (2.0::double / 61), 9) as normalized_score, vec_rank, fts_rank, case when vec_rank is not null and fts_rank is not null then 'hybrid' when vec_rank is not null then 'knn' else 'fts' end as source, substr(m.body, 1, 300) as snippet from (select * from fu order by score desc, id limit 10) f join memories m on m.id = f.id")
 def hybrid_weighted(c):
-    return search.hybrid(c.memories, c.memory_embeddings, query_vector(c), QUERY, 10, weight_vec=0.3, weight_fts=1.7, index=c.text_index)
+    return search.hybrid(c.memories, c.memory_embeddings, query_vector(c), QUERY, 10, weight_vec=0.3, weight_fts=1.7)
 
 
 def _chain(seed: int) -> str:
@@ -182,4 +182,4 @@ def _research() -> str:
 def research_merge(c):
     """A question of two parts: the best of both parts' hits and of what the graph reaches from them."""
     v = query_vector(c)
-    return search.research(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, [(q, v) for q, _ in search.decompose("ther than; thorre-the")], 10, index=c.text_index)
+    return search.research(c.memories, c.memory_embeddings, c.relationships, c.memory_entities, [(q, v) for q, _ in search.decompose("ther than; thorre-the")], 10)
