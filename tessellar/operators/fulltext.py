@@ -149,8 +149,10 @@ def _part(tf: Column, df: Column) -> Column:
 
 
 def postings(memories: DataFrame) -> DataFrame:
-    """The index: (term, id, tf)."""
-    return document_tokens(memories).select("id", F.explode("toks").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+    """The index: (term, id, tf).  A memory's terms are counted where it is read; only ids that several rows have are grouped."""
+    rows = document_tokens(memories).select("id", F.inline(_counted(F.col("toks")))).select("term", "id", "tf")
+    repeated = scans.live(memories).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows if repeated.isEmpty() else rows.groupBy("term", "id").agg(F.sum("tf").alias("tf"))
 
 
 def lengths(memories: DataFrame) -> DataFrame:
@@ -176,4 +178,7 @@ def check_index(index: DataFrame, memories: DataFrame) -> DataFrame:
 
 def sync_index(index: DataFrame, changed: DataFrame) -> DataFrame:
     """The index after some memories changed: their postings replaced, those of deleted ones gone."""
-    return index.join(changed.select("id").distinct(), "id", "left_anti").unionByName(postings(changed).select(*index.columns))
+    ids = snapshot(changed.select("id").distinct(), "changed")
+    # Few ids go to where the postings are.
+    gone = F.broadcast(ids) if ids.count() <= FEW else ids
+    return index.join(gone, "id", "left_anti").select(*index.columns).unionByName(postings(changed).select(*index.columns))

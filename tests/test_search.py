@@ -25,3 +25,13 @@ def test_registered_searches_shuffle_no_terms(spark, monkeypatch):
     monkeypatch.setattr(fulltext, "build_index", None)
     for name in ("q_hybrid_rrf", "q_bm25_alternatives", "q_fts_fallback", "q_research_merge"):
         assert catalogue.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_postings_group_only_repeated_ids(spark):
+    once, twice = memories(spark), memories(spark, [(3, "global", "note", "n3", "d", "t21 t21 new", None)])
+    assert "Aggregate" not in fulltext.postings(once)._jdf.queryExecution().toString()
+    got = {(r.term, r.id): r.tf for r in fulltext.postings(twice).collect()}
+    assert len(got) == fulltext.postings(twice).count() and (got["t21", 3], got["n3", 3], got["new", 3]) == (3, 2, 1)
+    changed = once.where("id < 100").selectExpr("id", "namespace", "type", "name", "description", "'edited' as body", "if(id = 5, 1L, deleted_at) as deleted_at")
+    synced = {(r.term, r.id) for r in fulltext.sync_index(fulltext.postings(once), changed).collect()}
+    assert ("edited", 4) in synced and not any(i == 5 for _, i in synced) and ("t00", 150) in synced and ("t28", 4) not in synced
