@@ -26,10 +26,10 @@ ENTITY, EDGE = ["namespace", "name"], ["source_id", "target_id", "relation"]
 
 @dataclass(frozen=True)
 class Tables:
-    """The tables that an ingest changes; those of the graph only by batch lines."""
+    """The tables that an ingest changes; those of the graph only by batch lines.  Without memories those of the graph alone are changed."""
 
-    memories: DataFrame
-    versions: DataFrame
+    memories: DataFrame | None = None
+    versions: DataFrame | None = None
     chunks: DataFrame | None = None
     urls: DataFrame | None = None
     entities: DataFrame | None = None
@@ -106,13 +106,15 @@ def decide(staged: DataFrame, memories: DataFrame, namespace: str, force: bool =
     """
     live = scans.live(memories)
     own = scans.in_namespace(live, namespace)
+    # What decides is narrow; bodies and what lines name wait for the end, where a caller that does not ask for them reads none.
     full = own.isEmpty() and live.select("namespace").distinct().count() >= most
     rows = staged if lines else maintain.numbered(staged, ["path", "part"], "place")
-    rows = rows.withColumn("reason", F.coalesce("reason", F.lit("namespace_limit" if full else None).cast("string"))).withColumn("body_hash", X.content_hash(F.col("body")))
+    parts = rows
+    rows = rows.select("place", "name", _blank(F.col("description")).alias("bare"), F.coalesce("reason", F.lit("namespace_limit" if full else None).cast("string")).alias("reason"), X.content_hash(F.col("body")).alias("body_hash"))
     known = own.select("name", F.col("id").alias("known_id"))
     rows = snapshot(rows.join(known, "name", "left").withColumn("good", F.col("reason").isNull()), "staged")
     # Names: the first good row of an unknown one makes it, and later ones meet it.
-    able = F.col("good") & F.col("known_id").isNull() & (~_blank(F.col("description")) if lines else F.lit(True))
+    able = F.col("good") & F.col("known_id").isNull() & (~F.col("bare") if lines else F.lit(True))
     first = rows.where(able).groupBy("name").agg(F.min("place").alias("first"))
     rows = rows.join(first, "name", "left")
     met = F.col("known_id").isNotNull() | (F.col("place") > F.col("first"))
@@ -137,11 +139,11 @@ def decide(staged: DataFrame, memories: DataFrame, namespace: str, force: bool =
         # Updates of a name made in this batch go to its new memory.
         own_id = out.where("new_id is not null").select("name", F.col("new_id").alias("made_id"))
         out = out.join(own_id, "name", "left").withColumn("known_id", F.coalesce("known_id", "made_id")).drop("made_id")
-    out = out.withColumn("memory_id", F.when(F.col("status") == "indexed", F.coalesce("new_id", "known_id"))).drop("good", "known_id", "first", "step", "new_id")
+    out = out.withColumn("memory_id", F.when(F.col("status") == "indexed", F.coalesce("new_id", "known_id"))).select("place", "body_hash", "status", "action", "reason", "memory_id")
     out = snapshot(out, "outcomes")
     if whole and not out.where("status = 'failed'").isEmpty():
         out = out.withColumns({"status": F.lit("failed"), "action": F.lit(None).cast("string"), "reason": F.coalesce("reason", F.lit("batch_rejected")), "memory_id": F.lit(None).cast("bigint")})
-    return out
+    return parts.drop("reason").join(out, "place")
 
 
 def _new_bodies(rows: DataFrame, own: DataFrame, force: bool) -> DataFrame:
@@ -166,7 +168,11 @@ def tally(outcomes: DataFrame) -> DataFrame:
 
 def changes(outcomes: DataFrame, old: Tables, namespace: str, at: int) -> Tables:
     """The changed or added rows of each table: every write is a version, the last one of a memory is its row, its chunks and, where it was created, its URLs."""
-    written = snapshot(outcomes.where("status = 'indexed'"), "written")
+    written = outcomes.where("status = 'indexed'")
+    graph = old.entities is not None and "entities" in written.columns
+    if old.memories is None:
+        return _graph_changes(snapshot(written.select("place", "memory_id", "entities", "relationships"), "written"), old, Tables(), namespace) if graph else Tables()
+    written = snapshot(written, "written")
     last = Window.partitionBy("memory_id").orderBy(F.desc("place"))
     now = written.withColumn("_n", F.row_number().over(last)).where("_n = 1").withColumn("id", F.col("memory_id"))
     time = F.lit(at).cast("bigint")
@@ -179,7 +185,7 @@ def changes(outcomes: DataFrame, old: Tables, namespace: str, at: int) -> Tables
         new = replace(new, chunks=several)
     if old.urls is not None:
         new = replace(new, urls=tables.memory_urls(written.where("action = 'created'").select(F.col("memory_id").alias("id"), "body")))
-    if old.entities is not None and "entities" in written.columns:
+    if graph:
         new = _graph_changes(written, old, new, namespace)
     return new
 

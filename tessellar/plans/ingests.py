@@ -177,7 +177,7 @@ _LINE_GRAPH = f"""{_LINE_STEPS}, ok as (select line, id, again from s where step
 
 def _lined(c):
     store = c.memories.where("id % 3 <> 0")
-    old = ingest.Tables(store, c.memory_versions, None, None, c.entities, c.relationships, c.memory_entities)
+    old = ingest.Tables(entities=c.entities, relationships=c.relationships, bridge=c.memory_entities)
     outcomes = ingest.decide(ingest.stage_lines(_line_file(c)), store, "global", force=True, lines=True)
     return ingest.persist(outcomes, old, "global", AT)
 

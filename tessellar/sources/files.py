@@ -11,6 +11,9 @@ from tessellar import schema
 from tessellar.functions import text as X
 from tessellar.storage import snapshot
 
+#: Blocks of files up to which their counts are laid end to end in one task; of more, lines are sorted.
+BLOCKS = 100_000
+
 
 def text_tree(spark: SparkSession, folder: str, pattern: str = "*.md", recursive: bool = True) -> DataFrame:
     """(path, body) of every file of a folder that fits a pattern: a suffix, a prefix or a name."""
@@ -86,9 +89,16 @@ def checked_lines(spark: SparkSession, path: str) -> DataFrame:
     """(line, value, fields, error): all lines of NDJSON files but blank ones, with their places from 0, good or not."""
     from tessellar.operators import maintain
 
-    # Blocks of a file are read in order, and lines within them.
-    read = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_in"))
-    placed = maintain.numbered(read.where(F.trim("value") != ""), ["file_path", "file_block_start", "_in"], "_n")
+    # Blocks of a file are read in order, and lines within them: a line's place is how far it stands from its block's first.
+    read = spark.read.text(path).where(F.trim("value") != "").select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_in"))
+    laid, key = snapshot(read, "lines"), ["file_path", "file_block_start"]
+    blocks = snapshot(laid.groupBy(*key).agg(F.min("_in").alias("_first"), F.count(F.lit(1)).alias("_lines")), "blocks")
+    if blocks.count() <= BLOCKS:
+        before = F.coalesce(F.sum("_lines").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        blocks = blocks.select(*key, (before - F.col("_first") + 1).alias("_shift"))
+        placed = laid.join(F.broadcast(blocks), key).withColumn("_n", F.col("_in") + F.col("_shift"))
+    else:
+        placed = maintain.numbered(laid, [*key, "_in"], "_n")
     return parsed_lines(placed.select((F.col("_n") - 1).alias("line"), "value"))
 
 
