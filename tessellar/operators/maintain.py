@@ -201,16 +201,16 @@ def reclassify(entities: DataFrame, kind_from: str | None, kind_to: str | None,
 
 def reclassify_relation(edges: DataFrame, entities: DataFrame, old: str, new: str, source_type: str | None = None, target_type: str | None = None) -> DataFrame:
     """Edges of a relation take another, optionally only between types; those that then exist already go."""
-    kind = entities.select("id", "type")
-    met = edges.join(kind.select(F.col("id").alias("source_id"), F.col("type").alias("_s")), "source_id", "left").join(kind.select(F.col("id").alias("target_id"), F.col("type").alias("_t")), "target_id", "left")
-    hit = F.col("relation") == old
-    if source_type:
-        hit = hit & (F.col("_s") == source_type)
-    if target_type:
-        hit = hit & (F.col("_t") == target_type)
-    hit = F.coalesce(hit, F.lit(False))
+    # Only edges of the relation look for types, and only at the ends that are asked for: an end that very many edges share is no key of a join in vain.
+    own = F.coalesce(F.col("relation") == old, F.lit(False))
+    met, hit = edges.where(own), F.lit(True)
+    for end, kind in (("source_id", source_type), ("target_id", target_type)):
+        if kind:
+            ids = entities.where(F.col("type") == kind).select(F.col("id").alias(end)).distinct()
+            met = met.join(ids.withColumn(f"_{end}", F.lit(True)), end, "left")
+            hit = hit & F.col(f"_{end}").isNotNull()
     changed = met.where(hit).withColumn("relation", F.lit(new)).select(*edges.columns)
-    stay = met.where(~hit).select(*edges.columns)
+    stay = edges.where(~own).unionByName(met.where(~hit).select(*edges.columns))
     return stay.unionByName(dedupe_edges(changed.join(stay, ["source_id", "target_id", "relation"], "left_anti").select(*edges.columns)))
 
 
