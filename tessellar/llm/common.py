@@ -59,6 +59,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     size, and if they do not suffice it raises an error.
     """
     e = stored(_oriented(edges.select("a", "b")), "cc")
+    last = _digest(e)
     for _ in range(rounds):
         # Large star: a node's larger neighbours go to its smallest neighbour (or itself).
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -71,10 +72,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = star.select(F.col("m").alias("a"), "b").unionByName(star.select(F.col("m").alias("a"), F.col("a").alias("b")))
         new = stored(_oriented(small), "cc")
         # A fixed point: every edge already leads to the smallest node of its star.
-        if _digest(new) == _digest(e):
-            e = new
+        e, before, last = new, last, _digest(new)
+        if last == before:
             break
-        e = new
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return (

@@ -19,8 +19,9 @@ the text's Cartesian tree that are that wide.
    are compared among each other and, where one is as near to the first as two texts similar to a third, with all
    of that class: blocks of intervals by counts of shared shingles (a matrix product inside a task), and those that may
    share enough for a passage by the comparison above, but for pairs already in one class.
-   A key of more than ``many`` intervals, such as that of a line that every other document has, says little alone:
-   there, intervals are compared that agree in the next band beside it, four hash functions in all.
+   Intervals that can have no passage with one of another class drop out first: the shingles that others have
+   are too few around the centre.  In a key of more than ``many`` intervals, such as that of a line that every other document has,
+   this is found by slices of its intervals and parts of its shingles, so no task has the whole key; nothing else is left out.
 
 A key that many texts of one task's slice hold is salted by the slice: its first text stands for them among
 the slices, and they are compared with it apart.
@@ -48,8 +49,8 @@ BANDS = 4
 FEW, PARTNERS, BLOCK = 16, 256, 512
 #: Shingles that a comparison of much repeated words looks ahead and back from a centre; longer passages are found from several centres and merged.
 REACH = 1024
-#: Intervals of a key beyond which two of them must agree in a second band to be compared.
-MANY = 256
+#: Intervals of a key beyond which it is thinned by slices, and intervals of a slice.
+MANY, SLICE = 256, 1 << 13
 #: Bits of a place that hold how far an interval reaches beyond its centre, and of a value that hold its band.
 SIDE, BAND_BITS = 16, 4
 
@@ -398,14 +399,19 @@ def stretches(chain, pa_: int, size_a: int, size_b: int, threshold: float, wide:
     return [tuple(spans)]
 
 
-def _dense(runs, n: int, share: float, wide: int):
-    """Which of a text's ``n`` places lie in a stretch of ``wide`` or more of which a share of ``share`` or more is shared."""
+def _covered(begin, end, n: int):
+    """Which of a text's ``n`` places lie in runs from ``begin`` to ``end``."""
     import numpy as np
 
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, runs[0], 1)
-    np.add.at(step, runs[1] + 1, -1)
-    sums = np.append(0.0, np.cumsum((np.cumsum(step[:-1]) > 0) - share))
+    return np.cumsum(np.bincount(begin, minlength=n)[:n] - np.bincount(end + 1, minlength=n + 1)[:n]) > 0
+
+
+def _dense(shared, share: float, wide: int):
+    """Which of a text's places lie in a stretch of ``wide`` or more of which a share of ``share`` or more is ``shared``."""
+    import numpy as np
+
+    n = len(shared)
+    sums = np.append(0.0, np.cumsum(shared - share))
     far = np.maximum.accumulate(sums[::-1])[::-1]
     # The last place up to which the stretch from each place is dense enough.
     last = np.searchsorted(-far, -(sums[:-1] - 1e-9), "right") - 2
@@ -413,18 +419,50 @@ def _dense(runs, n: int, share: float, wide: int):
     return np.maximum.accumulate(last) >= np.arange(n)
 
 
-def _may_meet(runs, size_a: int, size_b: int, meets, threshold: float, wide: int):
+def _may_meet(shared_a, shared_b, meets, threshold: float, wide: int):
     """The meets whose places may lie in a passage: its stretch has a share of t or more in the other text on both sides, and on one side of 2t / (1 + t)."""
-    other = runs[0] + runs[2], runs[1] + runs[2]
-    meets = meets[_dense(runs, size_a, threshold, wide)[meets[:, 0]]]
+    meets = meets[_dense(shared_a, threshold, wide)[meets[:, 0]]]
     if len(meets):
-        meets = meets[_dense(other, size_b, threshold, wide)[meets[:, 1]]]
+        meets = meets[_dense(shared_b, threshold, wide)[meets[:, 1]]]
     if len(meets):
         share = 2 * threshold / (1 + threshold)
-        meets = meets[_dense(runs, size_a, share, wide)[meets[:, 0]] | _dense(other, size_b, share, wide)[meets[:, 1]]]
+        on = _dense(shared_a, share, wide)[meets[:, 0]]
+        meets = meets if on.all() else meets[on | _dense(shared_b, share, wide)[meets[:, 1]]]
     return meets
 
 
+def _hold(held, sizes, centre, share: float, wide: int):
+    """For rows of places (``held``, of which the first ``sizes`` count), whether a stretch of ``wide`` or more around the ``centre`` has a share of ``share`` or more that is held."""
+    import numpy as np
+
+    n, m = held.shape
+    if m < wide:
+        return np.zeros(n, bool)
+    sums = np.zeros((n, m + 1), np.float32)
+    np.cumsum(held, axis=1, out=sums[:, 1:])
+    place = np.arange(m + 1, dtype=np.float32)
+    sums -= np.float32(share) * place
+    far = np.where(place <= sizes[:, None], sums, -np.inf)
+    far = np.maximum.accumulate(far[:, ::-1], axis=1)[:, ::-1]
+    begin = np.arange(m - wide + 1)
+    least = np.maximum(centre[:, None] + 1, begin + wide)
+    fits = (begin <= centre[:, None]) & (least <= sizes[:, None])
+    return (fits & (np.take_along_axis(far, np.minimum(least, m), 1) >= sums[:, : m - wide + 1] - 1e-3)).any(1)
+
+
+def _alike(sizes, places: int = 1 << 20):
+    """Rows in groups of like sizes that have up to so many places together, each with its largest size."""
+    import numpy as np
+
+    order = np.argsort(sizes, kind="stable")
+    end = len(order)
+    while end:
+        most = int(sizes[order[end - 1]])
+        begin = max(int(np.searchsorted(sizes[order], most // 3)), end - max(1, places // max(most, 1)))
+        yield order[begin:end], most
+        end = begin
+
+
 def _dense_pairs(col, who, s, sets, centre, might, threshold: float, wide: int, dense: int = 1 << 26):
     """Of the pairs (i, j) that ``might`` marks, those whose centres may lie in a passage: ``_dense`` for many at once.
 
@@ -440,6 +478,18 @@ def _dense_pairs(col, who, s, sets, centre, might, threshold: float, wide: int,
     if table is not None:
         table[who, col] = True
         table[:, -1] = False
+        # All pairs at once, rows of like lengths together.
+        x, y = np.nonzero(might)
+        lengths = np.array([len(v) for v in s])
+        have = np.concatenate([col[edges[i] : edges[i + 1]][np.searchsorted(sets[i], s[i])] for i in range(len(s))])
+        begins, upper = np.cumsum(lengths) - lengths, 2 * threshold / (1 + threshold)
+        some, most = np.zeros_like(might), np.zeros_like(might)
+        for pairs, n in _alike(lengths[x]):
+            i, j = x[pairs], y[pairs]
+            held = table[j[:, None], have[np.minimum(begins[i][:, None] + np.arange(n), len(have) - 1)]]
+            some[i, j] = _hold(held, lengths[i], centre[i], threshold, wide)
+            most[i, j] = _hold(held, lengths[i], centre[i], upper, wide)
+        return some & some.T & (most | most.T)
     some, most, asked = np.zeros_like(might), np.zeros_like(might), np.zeros_like(might)
 
     def ask(i, others) -> None:
@@ -448,22 +498,18 @@ def _dense_pairs(col, who, s, sets, centre, might, threshold: float, wide: int,
         mine = np.flatnonzero(own >= 0)
         spot[own[mine]] = mine
         at = np.searchsorted(sets[i], s[i])
-        have = own[at]
         begin = np.arange(min(c, n - wide) + 1)
         least = np.maximum(c + 1, begin + wide)
         asked[i, others] = True
         for lo in range(0, len(others), 128):
             j = others[lo : lo + 128]
-            if table is not None:
-                holds = table[j][:, have]
-            else:
-                held = edges[j + 1] - edges[j]
-                theirs = col[np.repeat(edges[j] - np.cumsum(held) + held, held) + np.arange(held.sum())]
-                row, theirs = np.repeat(np.arange(len(j)), held)[theirs >= 0], theirs[theirs >= 0]
-                met = spot[theirs]
-                holds = np.zeros((len(j), len(own)), bool)
-                holds[row[met >= 0], met[met >= 0]] = True
-                holds = holds[:, at]
+            held = edges[j + 1] - edges[j]
+            theirs = col[np.repeat(edges[j] - np.cumsum(held) + held, held) + np.arange(held.sum())]
+            row, theirs = np.repeat(np.arange(len(j)), held)[theirs >= 0], theirs[theirs >= 0]
+            met = spot[theirs]
+            holds = np.zeros((len(j), len(own)), bool)
+            holds[row[met >= 0], met[met >= 0]] = True
+            holds = holds[:, at]
             shared = np.zeros((len(j), n + 1), np.float32)
             np.cumsum(holds, axis=1, out=shared[:, 1:])
             for share, out in ((threshold, some), (2 * threshold / (1 + threshold), most)):
@@ -483,6 +529,14 @@ def _dense_pairs(col, who, s, sets, centre, might, threshold: float, wide: int,
     return some & some.T & (most | most.T)
 
 
+def _numbered(flat):
+    """The number of each shingle among those that occur more than once, or -1."""
+    import numpy as np
+
+    values, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    return np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[at]
+
+
 def _shared_counts(col, who, n: int, few: int = 16, columns: int = 1 << 14):
     """How many shared shingles each two of ``n`` intervals have, above the diagonal: of shingles that few intervals have, by their pairs, of others by a matrix product."""
     import numpy as np
@@ -537,12 +591,13 @@ def _passages_of(a, b, order, meets, threshold: float, wide: int, near: list | N
     if runs is not None:
         if not runs:
             return []
+        shared = _covered(runs[0], runs[1], len(a))
         if near is not None:
-            close = meets[_dense(runs, len(a), _near_share(threshold), wide)[meets[:, 0]], 0]
+            close = meets[_dense(shared, _near_share(threshold), wide)[meets[:, 0]], 0]
             near += close.tolist()
         if (runs[1] - runs[0] + 1).sum() < least:
             return []
-        meets = _may_meet(runs, len(a), len(b), meets[a[meets[:, 0]] == b[meets[:, 1]]], threshold, wide)
+        meets = _may_meet(shared, _covered(runs[0] + runs[2], runs[1] + runs[2], len(b)), meets[a[meets[:, 0]] == b[meets[:, 1]]], threshold, wide)
     elif near is not None:
         # So much is repeated that every place may be near.
         close = np.unique(meets[:, 0])
@@ -650,31 +705,117 @@ def _compared(meets: DataFrame, texts: DataFrame, min_words: int, size: int, thr
     return pieces.repartition("a", "part").sortWithinPartitions("a", "part", F.col("ca").isNotNull()).mapInArrow(run, _PAIR)
 
 
-def _agreeing(members: DataFrame, meets: DataFrame, wide: int, bands: int) -> DataFrame:
-    """``members`` (value, key, place, root) of keys with more than ``many`` intervals, keyed anew by their value and one of the next band beside it.
+def _may_link(flat, edges, centre, root, threshold: float, wide: int):
+    """Which intervals may have a passage with one of another root.
 
-    The second value is shared with other texts too, its centre lies within ``wide`` shingles of the first, and the intervals overlap in as many that hold both centres.
+    ``flat`` has the shingles of all, one interval after another, and ``edges`` where each begins.  A passage's stretch around
+    the centre has a share of ``threshold`` in the other text, so in intervals of other roots taken together.  What drops out holds nothing for the rest.
     """
-    shared = meets.select("value", F.col("b").alias("key"), F.col("pb").alias("place")).unionByName(meets.select("value", F.col("a").alias("key"), F.col("pa").alias("place"))).distinct()
-    # Centres meet in stretches of twice the width; what is near a centre lies in two at most.
-    part = lambda c, by=0: F.floor((_centre(c) + by) / (2 * wide)).cast("long")
-    own = members.withColumn("part", F.explode(F.array_distinct(F.array(part("place", -wide), part("place", wide)))))
-    other = shared.select(F.col("value").alias("value2"), "key", F.col("place").alias("place2")).withColumn("part", part("place2"))
-    c1, c2 = _centre("place"), _centre("place2")
-    begin, end = F.greatest(c1 - _before("place"), c2 - _before("place2")), F.least(c1 + _after("place"), c2 + _after("place2"))
-    # As within a band: the subsequences that share both values hold both centres.
-    both_in = (begin <= F.least(c1, c2)) & (end >= F.greatest(c1, c2)) & (end - begin + 1 >= wide)
-    band = lambda c: F.col(c).bitwiseAND((1 << BAND_BITS) - 1)
-    both = own.join(other, ["key", "part"]).where((band("value2") == (band("value") + 1) % bands) & (F.abs(c1 - c2) < wide) & both_in)
-    keyed_ = both.select(F.xxhash64("value", "value2").alias("value"), "key", "place", "root", "beside").distinct()
-    several = keyed_.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("value")
-    return keyed_.join(several, "value")
-
-
-def _crowded(members: DataFrame, texts: DataFrame, min_words: int, size: int, threshold: float) -> DataFrame:
+    import numpy as np
+
+    at = np.unique(flat, return_inverse=True)[1]
+    sizes = np.diff(edges)
+    who, alive = np.repeat(np.arange(len(sizes)), sizes), np.ones(len(sizes), bool)
+    of, most = root[who], int(root.max()) + 1
+    while True:
+        low, high = np.full(at.max() + 1, most), np.full(at.max() + 1, -1)
+        on = alive[who]
+        np.minimum.at(low, at[on], of[on])
+        np.maximum.at(high, at[on], of[on])
+        held = (low < high)[at]
+        now = alive & (np.add.reduceat(held, edges[:-1], dtype=np.int64) >= threshold * wide - 1e-9)
+        todo = np.flatnonzero(now)
+        for some, most_ in _alike(sizes[todo]):
+            i = todo[some]
+            own = held[np.minimum(edges[i][:, None] + np.arange(most_), len(held) - 1)]
+            now[i] = _hold(own, sizes[i], centre[i], threshold, wide)
+        # Each round leaves less; the last ones are not worth their time.
+        if now.sum() * 10 > alive.sum() * 9 or not now.any():
+            return now
+        alive = now
+
+
+_PIECE = "value long, key long, root long, left long, centre long, s array<long>, beside boolean"
+
+
+def _thinned(pieces: DataFrame, sizes: DataFrame, threshold: float, wide: int) -> DataFrame:
+    """The ``pieces`` of values that are too large for a task which may have a passage with a piece of another root, as ``_may_link`` tells.
+
+    ``sizes`` (value, n, shingles) has these values.  Slices of a value's pieces tell their shingles with the smallest and largest root, parts of
+    the shingles are put together, and those of several roots go to each slice before its pieces.
+    """
+    dealt = sizes.select("value", F.ceil(F.greatest(F.col("n"), F.col("shingles") / 64) / SLICE).cast("int").alias("slices"), F.ceil(F.col("shingles") / 64 / SLICE).cast("int").alias("parts"))
+    own = pieces.join(dealt, "value").withColumn("slice", F.pmod(F.xxhash64("key", "left"), F.col("slices")).cast("int"))
+    own = stored(own.repartition("value", "slice").sortWithinPartitions("value", "slice"), "slices")
+
+    def tell(keys, table):
+        import numpy as np
+        import pyarrow as pa
+
+        lists, parts = table["s"].combine_chunks(), table["parts"][0].as_py()
+        flat, at = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        root = np.repeat(table["root"].to_numpy(), np.diff(lists.offsets.to_numpy()))
+        low, high = np.full(len(flat), np.iinfo(np.int64).max), np.full(len(flat), np.iinfo(np.int64).min)
+        np.minimum.at(low, at, root)
+        np.maximum.at(high, at, root)
+        part = flat.view(np.uint64) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        found, first = np.unique(part[order], return_index=True)
+        edges = pa.array(np.append(first, len(order)).astype(np.int32))
+        cut = [pa.ListArray.from_arrays(edges, pa.array(x[order])) for x in (flat, low, high)]
+        return pa.Table.from_arrays([pa.array(np.full(len(found), keys[0].as_py())), pa.array(found.astype(np.int32)), *cut], ["value", "part", "s", "low", "high"])
+
+    def join(keys, table):
+        import numpy as np
+        import pyarrow as pa
+
+        flat, root_low, root_high = (table[c].combine_chunks().flatten().to_numpy() for c in ("s", "low", "high"))
+        flat, at = np.unique(flat, return_inverse=True)
+        low, high = np.full(len(flat), np.iinfo(np.int64).max), np.full(len(flat), np.iinfo(np.int64).min)
+        np.minimum.at(low, at, root_low)
+        np.maximum.at(high, at, root_high)
+        return pa.table({"value": pa.array([keys[0].as_py()]), "s": pa.array([flat[low < high]], pa.list_(pa.int64()))})
+
+    told = own.groupBy("value", "slice").applyInArrow(tell, "value long, part int, s array<long>, low array<long>, high array<long>")
+    several = told.groupBy("value", "part").applyInArrow(join, "value long, s array<long>")
+    heads = several.join(dealt, "value").select("value", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(None).cast("long").alias("key"), "s")
+
+    def keep(batches: Iterator) -> Iterator:
+        import numpy as np
+
+        now, held, sorted_ = None, [], None
+        for x in sliced(batches):
+            kept, lists = [], x.column("s")
+            flat, edges = lists.values.to_numpy(), lists.offsets.to_numpy()
+            names = [x.column(c).to_pylist() for c in ("value", "slice", "key", "centre")]
+            for i, (value, slice_, key, centre) in enumerate(zip(*names)):
+                own_ = flat[edges[i] : edges[i + 1]]
+                if (value, slice_) != now:
+                    now, held, sorted_ = (value, slice_), [], None
+                if key is None:
+                    held.append(own_.copy())
+                    continue
+                if sorted_ is None:
+                    sorted_ = np.sort(np.concatenate(held)) if held else np.empty(0, np.int64)
+                if len(sorted_):
+                    have = sorted_[np.minimum(np.searchsorted(sorted_, own_), len(sorted_) - 1)] == own_
+                    kept += [i] if _hold(have[None, :], np.array([len(own_)]), np.array([centre]), threshold, wide)[0] else []
+            yield x.take(pa_indices(kept)).select(["value", "key", "root", "left", "centre", "s", "beside"])
+
+    def pa_indices(kept):
+        import pyarrow as pa
+
+        return pa.array(kept, pa.int64())
+
+    both = own.drop("slices", "parts").unionByName(heads, allowMissingColumns=True)
+    return both.repartition("value", "slice").sortWithinPartitions("value", "slice", F.col("key").isNotNull()).mapInArrow(keep, _PIECE)
+
+
+def _crowded(members: DataFrame, texts: DataFrame, min_words: int, size: int, threshold: float, many: int) -> DataFrame:
     """As ``_compared``: links between intervals of one value (value, key, place, root, beside) whose passages have different roots.
 
     A link is left out only where its two roots are already joined within the task.
+    Values of more than ``many`` intervals are thinned before they are dealt.
     """
     wide = min_words - size + 1
     of_text = members.groupBy("key").agg(F.collect_list(F.struct("value", "place", "root", "beside")).alias("own")).join(texts, "key")
@@ -697,16 +838,19 @@ def _crowded(members: DataFrame, texts: DataFrame, min_words: int, size: int, th
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(f, kinds)], ["value", "key", "root", "left", "centre", "s", "beside"])
 
-    schema = "value long, key long, root long, left long, centre long, s array<long>, beside boolean"
-    pieces = stored(of_text.mapInArrow(cut, schema), "pieces")
-    # Blocks of what lies beside the first interval's class meet each other and the blocks of that class, which do not meet each other.
-    sized = members.groupBy("value").agg(F.ceil(F.count_if("beside") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if(~F.col("beside")) / BLOCK).cast("int").alias("nh"))
-    held = pieces.join(sized, "value").withColumn("own", F.pmod(F.xxhash64("key", "left"), F.greatest(F.when(F.col("beside"), F.col("nb")).otherwise(F.col("nh")), F.lit(1))).cast("int"))
+    pieces = stored(of_text.mapInArrow(cut, _PIECE), "pieces")
+    hot = stored(members.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(_before("place") + _after("place") + 1).alias("shingles")).where(F.col("n") > many), "hot")
+    if not hot.isEmpty():
+        few = pieces.join(hot.select("value"), "value", "left_anti").select(*pieces.columns)
+        pieces = stored(few.unionByName(_thinned(pieces.join(hot.select("value"), "value", "left_semi"), hot, threshold, wide)), "pieces")
+    # Small values are one block.  Else blocks of what lies beside the first interval's class meet each other and the blocks of that class, which do not meet each other.
+    sized = pieces.groupBy("value").agg(F.ceil(F.count_if("beside") / BLOCK).cast("int").alias("nb"), F.ceil(F.count_if(~F.col("beside")) / BLOCK).cast("int").alias("nh"), (F.count(F.lit(1)) <= BLOCK).alias("one"))
+    held = pieces.join(sized, "value").withColumn("own", F.when(F.col("one"), 0).otherwise(F.pmod(F.xxhash64("key", "left"), F.greatest(F.when(F.col("beside"), F.col("nb")).otherwise(F.col("nh")), F.lit(1)))).cast("int"))
     spot = lambda i, j, h: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), h.cast("int").alias("h"))
     among = F.transform(F.sequence(F.lit(0), F.greatest("nb", F.lit(1)) - 1), lambda k: spot(F.least("own", k), F.greatest("own", k), F.lit(-1)))
     across = F.when(F.col("nh") > 0, F.transform(F.sequence(F.lit(0), F.greatest("nh", F.lit(1)) - 1), lambda k: spot(F.col("own"), F.col("own"), k))).otherwise(F.array().cast("array<struct<i:int,j:int,h:int>>"))
     of_class = F.when(F.col("nb") > 0, F.transform(F.sequence(F.lit(0), F.greatest("nb", F.lit(1)) - 1), lambda k: spot(k, k, F.col("own")))).otherwise(F.array().cast("array<struct<i:int,j:int,h:int>>"))
-    dealt = held.withColumn("spot", F.explode(F.when(F.col("beside"), F.concat(among, across)).otherwise(of_class))).select("value", "key", "root", "left", "centre", "s", "beside", "own", "spot.*")
+    dealt = held.withColumn("spot", F.explode(F.when(F.col("one"), F.array(spot(F.lit(0), F.lit(0), F.lit(-1)))).when(F.col("beside"), F.concat(among, across)).otherwise(of_class))).select("value", "key", "root", "left", "centre", "s", "beside", "own", "spot.*")
 
     def run(keys, table):
         import numpy as np
@@ -714,6 +858,12 @@ def _crowded(members: DataFrame, texts: DataFrame, min_words: int, size: int, th
 
         table = table.sort_by([("key", "ascending"), ("left", "ascending")]).combine_chunks()
         lists = table["s"].combine_chunks()
+        edges = lists.offsets.to_numpy()
+        roots = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        table = table.filter(pa.array(_may_link(lists.values.to_numpy()[edges[0] : edges[-1]], edges - edges[0], table["centre"].to_numpy(), roots, threshold, wide)))
+        if not len(table):
+            return pa.Table.from_arrays(_arrays([]), _NAMES)
+        lists = table["s"].combine_chunks()
         flat, edges = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
         s = [flat[i:j] for i, j in zip(edges[:-1], edges[1:])]
         # Each interval's different shingles in order, one interval after another.
@@ -721,14 +871,14 @@ def _crowded(members: DataFrame, texts: DataFrame, min_words: int, size: int, th
         order = np.lexsort((flat, who))
         flat, who = flat[order], who[order]
         new = np.append(True, (flat[1:] != flat[:-1]) | (who[1:] != who[:-1]))
+        # A shingle that both intervals repeat is shared as often.
+        first = np.flatnonzero(new)
+        with np.errstate(over="ignore"):
+            repeats = flat + (np.arange(len(flat)) - np.repeat(first, np.diff(np.append(first, len(flat))))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        both = _shared_counts(_numbered(repeats), who, len(s))
         flat, who = flat[new], who[new]
         sets = np.split(flat, np.searchsorted(who, np.arange(1, len(s))))
-        values, at, seen = np.unique(flat, return_inverse=True, return_counts=True)
-        shared = np.flatnonzero(seen > 1)
-        col = np.full(len(values), -1)
-        col[shared] = np.arange(len(shared))
-        col = col[at]
-        both = _shared_counts(col, who, len(s))
+        col = _numbered(flat)
         key, left, centre, side, root = (table[c].to_numpy() for c in ("key", "left", "centre", "own", "root"))
         root, beside = np.unique(root, return_inverse=True)[1], np.asarray(table["beside"].to_pylist(), bool)
         might = np.triu(both >= 2 * threshold / (1 + threshold) * wide - 1e-3, 1) & (key[:, None] != key[None, :])
@@ -770,8 +920,8 @@ def repeated(docs: DataFrame, min_words: int = 50, size: int = 5, threshold: flo
     """(doc_id, start_word, n_words, class_doc, class_start): passages that are near duplicates of passages of other documents.
 
     A class is named by its smallest document and the passage's start there.
-    Overlapping passages of a document are one.  Intervals of keys that more than ``many`` (``MANY``) have are compared where they agree in a second
-    band as well; with a ``many`` beyond the number of rows every key is compared alone.
+    Overlapping passages of a document are one.  Keys that more than ``many`` (``MANY``) intervals have lose those that can have no passage with
+    one outside their class before the rest is compared; the result does not depend on it.
     """
     many = MANY if many is None else many
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -796,13 +946,11 @@ def repeated(docs: DataFrame, min_words: int = 50, size: int = 5, threshold: flo
     # What lies in a passage of the first interval's class is compared again only where another comes near it.
     nearly = compared.where("a_lo is null").select(F.col("b").alias("key"), F.col("b_lo").alias("centre")).distinct().withColumn("near", F.lit(True))
     met = met.withColumn("centre", _centre("place")).join(nearly, ["key", "centre"], "left").select("value", "key", "place", "root", F.coalesce("near", F.lit(False)).alias("near"))
-    heads = met.groupBy("value").agg(F.min_by("root", "key").alias("head"), F.count(F.lit(1)).alias("held"))
+    heads = met.groupBy("value").agg(F.min_by("root", "key").alias("head"))
     met = stored(met.join(heads, "value").withColumn("beside", F.col("root") != F.col("head")), "members")
     apart = met.where("beside").groupBy("value").agg(F.max("near").alias("any_near"), F.min("root").alias("x"), F.max("root").alias("y")).where("any_near or x <> y").select("value", "any_near")
-    crowd = stored(met.join(apart, "value").where("beside or any_near").select("value", "key", "place", "root", "beside", "held"), "crowd")
-    some, hot = crowd.where(F.col("held") <= many).drop("held"), crowd.where(F.col("held") > many).drop("held")
-    crowd = stored(some.unionByName(_agreeing(hot, meets, min_words - size + 1, bands).select(*some.columns)), "crowd")
-    more = stored(_crowded(crowd, texts, min_words, size, threshold), "links")
+    crowd = stored(met.join(apart, "value").where("beside or any_near").select("value", "key", "place", "root", "beside"), "crowd")
+    more = stored(_crowded(crowd, texts, min_words, size, threshold, many), "links")
     if not more.isEmpty():
         placed_ = _classed(links.unionByName(more), nodes)
     placed_ = placed_.join(nodes.select("key", "rep"), "key")

@@ -222,6 +222,23 @@ def test_large_keys_lose_no_class(spark, documents, monkeypatch, few, many):
     assert {r[0] for r in got} == {r[0] for r in want} and {(r[0], r[3]) for r in got} == {(r[0], r[3]) for r in want}
 
 
+def test_a_hot_line_loses_no_pair(spark, monkeypatch):
+    """Pairs that meet only in the key of a line that all texts have: the other band does not agree where a word was changed."""
+    monkeypatch.setattr(passages, "MANY", 4)
+    monkeypatch.setattr(passages, "SLICE", 16)
+    rng = np.random.default_rng(8)
+    word = lambda: f"h{rng.integers(10**9)}"
+    line, rows = [word() for _ in range(30)], []
+    for k in range(40):
+        w = [word() for _ in range(12)] + line + [word() for _ in range(12)]
+        x = list(w)
+        x[50] = word()
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(x))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(r.doc_id, r.class_doc) for r in passages.repeated(df, bands=2, few=10**6).collect()}
+    assert len(want) > 40 and {(r.doc_id, r.class_doc) for r in passages.repeated(df, bands=2, few=2).collect()} == want
+
+
 def test_blocks_count_alike_in_both_ways():
     rng = np.random.default_rng(3)
     for _ in range(30):
