@@ -179,7 +179,7 @@ def intervals(docs: DataFrame, min_words: int, size: int, bands: int, seed: int
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .shingles import mixed, shingles
+        from .shingles import mixed, shingles_of
 
         salts = mixed(np.arange(seed, seed + 2 * bands, dtype=np.uint64))
         wide, number, task = min_words - size + 1, 0, TaskContext.get().partitionId()
@@ -192,7 +192,7 @@ def intervals(docs: DataFrame, min_words: int, size: int, bands: int, seed: int
             if not texts:
                 continue
             number += 1
-            every = [shingles(w, size) for w in texts.values()]
+            every = shingles_of(list(texts.values()), size)
             flat, ends = np.concatenate(every), np.cumsum([len(x) for x in every])
             band, text, left, centre, right, low, also = band_intervals([mixed(flat ^ s) for s in salts], wide, ends)
             with np.errstate(over="ignore"):
@@ -315,8 +315,9 @@ def shared_runs(a, b, order, bounds_a=None, bounds_b=None, most: int = 2_000_000
         return None
     i = np.repeat(has, counts) + alo
     j = order[np.repeat(first, counts) + np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts)]
-    by = np.lexsort((i, j - i))
-    i, d = i[by], (j - i)[by]
+    # Diagonals, and places in order on each, as one number.
+    by = np.sort((j - i + len(a)) << 32 | i)
+    i, d = by & 0xFFFFFFFF, (by >> 32) - len(a)
     cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)))
     runs_d, runs_lo, runs_hi = d[cut], i[cut], i[np.append(cut[1:], len(i)) - 1]
     edge = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
@@ -419,15 +420,34 @@ def _dense(shared, share: float, wide: int):
     return np.maximum.accumulate(last) >= np.arange(n)
 
 
+def _dense_at(shared, share: float, wide: int, places):
+    """``_dense`` at some places."""
+    import numpy as np
+
+    n = len(shared)
+    if n < wide or len(places) > 8:
+        return _dense(shared, share, wide)[places]
+    sums = np.zeros(n + 1)
+    np.cumsum(shared - share, out=sums[1:])
+    far = np.maximum.accumulate(sums[::-1])[::-1]
+    least, ends = sums[: n - wide + 1] - 1e-9, far[wide:]
+    out = np.empty(len(places), bool)
+    for k, p in enumerate(places.tolist()):
+        # Stretches that begin where ``wide`` places reach beyond this one, and those whose end is this one or a later one.
+        mid = min(max(0, p + 2 - wide), len(least))
+        out[k] = (mid > 0 and bool((least[:mid] <= far[p + 1]).any())) or bool((least[mid : p + 1] <= ends[mid : p + 1]).any())
+    return out
+
+
 def _may_meet(shared_a, shared_b, meets, threshold: float, wide: int):
     """The meets whose places may lie in a passage: its stretch has a share of t or more in the other text on both sides, and on one side of 2t / (1 + t)."""
-    meets = meets[_dense(shared_a, threshold, wide)[meets[:, 0]]]
+    meets = meets[_dense_at(shared_a, threshold, wide, meets[:, 0])]
     if len(meets):
-        meets = meets[_dense(shared_b, threshold, wide)[meets[:, 1]]]
+        meets = meets[_dense_at(shared_b, threshold, wide, meets[:, 1])]
     if len(meets):
         share = 2 * threshold / (1 + threshold)
-        on = _dense(shared_a, share, wide)[meets[:, 0]]
-        meets = meets if on.all() else meets[on | _dense(shared_b, share, wide)[meets[:, 1]]]
+        on = _dense_at(shared_a, share, wide, meets[:, 0])
+        meets = meets if on.all() else meets[on | _dense_at(shared_b, share, wide, meets[:, 1])]
     return meets
 
 
@@ -442,12 +462,11 @@ def _hold(held, sizes, centre, share: float, wide: int):
     np.cumsum(held, axis=1, out=sums[:, 1:])
     place = np.arange(m + 1, dtype=np.float32)
     sums -= np.float32(share) * place
-    far = np.where(place <= sizes[:, None], sums, -np.inf)
+    # A stretch ends beyond the centre and begins up to it.
+    inner = place <= centre[:, None]
+    far = np.where(inner | (place > sizes[:, None]), np.float32(-np.inf), sums)
     far = np.maximum.accumulate(far[:, ::-1], axis=1)[:, ::-1]
-    begin = np.arange(m - wide + 1)
-    least = np.maximum(centre[:, None] + 1, begin + wide)
-    fits = (begin <= centre[:, None]) & (least <= sizes[:, None])
-    return (fits & (np.take_along_axis(far, np.minimum(least, m), 1) >= sums[:, : m - wide + 1] - 1e-3)).any(1)
+    return (inner[:, : m - wide + 1] & (far[:, wide:] >= sums[:, : m - wide + 1] - np.float32(1e-3))).any(1)
 
 
 def _alike(sizes, places: int = 1 << 20):
@@ -474,22 +493,36 @@ def _dense_pairs(col, who, s, sets, centre, might, threshold: float, wide: int,
     edges = np.searchsorted(who, np.arange(len(s) + 1))
     # Small blocks have a table of who holds what; in others, where the interval that asks has a shared shingle is marked and the rest look theirs up.
     spot = np.full(int(col.max(initial=-1)) + 1, -1)
-    table = np.zeros((len(s), len(spot) + 1), bool) if len(s) * (len(spot) + 1) <= dense else None
-    if table is not None:
+    columns = len(spot) + 1
+    if len(s) * columns <= dense:
+        table = np.zeros((len(s), columns), bool)
         table[who, col] = True
         table[:, -1] = False
-        # All pairs at once, rows of like lengths together.
-        x, y = np.nonzero(might)
+        table, upper = table.ravel(), 2 * threshold / (1 + threshold)
         lengths = np.array([len(v) for v in s])
-        have = np.concatenate([col[edges[i] : edges[i + 1]][np.searchsorted(sets[i], s[i])] for i in range(len(s))])
-        begins, upper = np.cumsum(lengths) - lengths, 2 * threshold / (1 + threshold)
-        some, most = np.zeros_like(might), np.zeros_like(might)
-        for pairs, n in _alike(lengths[x]):
-            i, j = x[pairs], y[pairs]
-            held = table[j[:, None], have[np.minimum(begins[i][:, None] + np.arange(n), len(have) - 1)]]
-            some[i, j] = _hold(held, lengths[i], centre[i], threshold, wide)
-            most[i, j] = _hold(held, lengths[i], centre[i], upper, wide)
-        return some & some.T & (most | most.T)
+        have = np.concatenate([col[edges[i] : edges[i + 1]][np.searchsorted(sets[i], s[i])] for i in range(len(s))]) % columns
+        begins = np.cumsum(lengths) - lengths
+
+        def holds(x, y, share):
+            out = np.zeros(len(x), bool)
+            # Rows of like lengths together.
+            for pairs, n in _alike(lengths[x]):
+                i, j = x[pairs], y[pairs]
+                held = np.take(have, begins[i][:, None] + np.arange(n), mode="clip")
+                held += (j * columns)[:, None]
+                out[pairs] = _hold(np.take(table, held), lengths[i], centre[i], share, wide)
+            return out
+
+        # Each pair once; what one side does not hold the other is not asked for.
+        x, y = np.nonzero(np.triu(might | might.T))
+        for one, other in ((0, 1), (1, 0)):
+            on = holds(*((x, y)[k] for k in (one, other)), threshold)
+            x, y = x[on], y[on]
+        most = holds(x, y, upper)
+        most[~most] = holds(y[~most], x[~most], upper)
+        out = np.zeros_like(might)
+        out[x[most], y[most]] = out[y[most], x[most]] = True
+        return out
     some, most, asked = np.zeros_like(might), np.zeros_like(might), np.zeros_like(might)
 
     def ask(i, others) -> None:
@@ -593,7 +626,7 @@ def _passages_of(a, b, order, meets, threshold: float, wide: int, near: list | N
             return []
         shared = _covered(runs[0], runs[1], len(a))
         if near is not None:
-            close = meets[_dense(shared, _near_share(threshold), wide)[meets[:, 0]], 0]
+            close = meets[_dense_at(shared, _near_share(threshold), wide, meets[:, 0]), 0]
             near += close.tolist()
         if (runs[1] - runs[0] + 1).sum() < least:
             return []
@@ -668,10 +701,10 @@ def _compared(meets: DataFrame, texts: DataFrame, min_words: int, size: int, thr
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        from .shingles import shingles, words
+        from .shingles import shingles_of, words
 
         for x in sliced(batches, 32):
-            every = [shingles(words(t), size) for t in x.column("text").to_pylist()]
+            every = shingles_of([words(t) for t in x.column("text").to_pylist()], size)
             flat, who = pc.list_flatten(x.column("roles")), pc.list_parent_indices(x.column("roles"))
             pieces = [every[i][lo : hi + 1] for i, lo, hi in zip(who.to_numpy(), flat.field("lo").to_numpy(), flat.field("hi").to_numpy())]
             edges = np.cumsum([0, *map(len, pieces)]).astype(np.int32)
@@ -824,13 +857,13 @@ def _crowded(members: DataFrame, texts: DataFrame, min_words: int, size: int, th
         import numpy as np
         import pyarrow as pa
 
-        from .shingles import shingles, words
+        from .shingles import shingles_of, words
 
         side = (1 << SIDE) - 1
         for x in sliced(batches, 32):
-            out = []
-            for key, own, text in zip(*(x.column(n).to_pylist() for n in ("key", "own", "text"))):
-                s = shingles(words(text), size).view(np.int64)
+            out, every = [], shingles_of([words(t) for t in x.column("text").to_pylist()], size)
+            for key, own, s in zip(x.column("key").to_pylist(), x.column("own").to_pylist(), every):
+                s = s.view(np.int64)
                 for m in own:
                     c, before, after = m["place"] >> 2 * SIDE, m["place"] >> SIDE & side, m["place"] & side
                     out.append((m["value"], key, m["root"], c - before, before, s[c - before : c + after + 1], m["beside"]))

@@ -263,3 +263,33 @@ def test_blocks_count_alike_in_both_ways():
         might |= might.T
         one, other = [passages._dense_pairs(col, who, s, sets, centre, might, 0.8, wide, dense) for dense in (0, 1 << 26)]
         assert (one == other).all()
+
+
+def test_shingles_of_many_texts_are_those_of_each():
+    """Words hashed many at once: a word has one hash wherever it stands, long ones and those beyond a piece included."""
+    from tessellar.llm.shingles import shingles, shingles_of, word_hashes
+
+    rng = np.random.default_rng(5)
+    texts = [[f"wé{rng.integers(40)}" for _ in range(int(rng.integers(5, 90)))] for _ in range(20)] + [["é" * 20_000, "x" * 16_383, "x" * 16_384, "a", "b"] + [f"n{i}" for i in range(9000)]]
+    for some in (texts, [["one"], [], *texts]):
+        assert all((x == shingles(own, 5, word_hashes(own))).all() and len(x) == len(shingles(own)) for own, x in zip(some, shingles_of(some), strict=True))
+    flat = [w for own in texts for w in own]
+    found = dict(zip(flat, word_hashes(flat).tolist()))
+    assert [found[w] for w in flat] == word_hashes(flat).tolist() and len(set(found.values())) == len(found)
+    # Equal shingles in other texts and places: as the remembered hashes tell them.
+    one, other = np.concatenate([shingles(own) for own in texts]), np.concatenate(shingles_of(texts))
+    assert len(np.unique(one)) == len(np.unique(other)) == len(np.unique(np.stack([one, other], 1), axis=0))
+
+
+def test_dense_at_some_places_is_dense_there():
+    rng = np.random.default_rng(6)
+    for _ in range(400):
+        n, wide, share = int(rng.integers(1, 80)), int(rng.integers(1, 30)), float(rng.choice([0.75, 0.8, 8 / 9]))
+        shared = rng.random(n) < rng.choice([0.5, 0.8, 0.9, 1.0])
+        places = rng.integers(0, n, 5)
+        want = passages._dense(shared, share, wide)[places]
+        assert (passages._dense_at(shared, share, wide, places) == want).all()
+        if n >= wide:
+            # Rows of places that reach beyond their sizes, whatever lies there.
+            rows = np.concatenate([np.tile(shared, (5, 1)), rng.random((5, 9)) < 0.5], 1)
+            assert (passages._hold(rows, np.full(5, n), places, share, wide) == want).all()
