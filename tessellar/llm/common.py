@@ -50,6 +50,11 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``df``, joined by sort and merge: for a side that grows with the input, whose size Spark takes from small files, before they are decoded and exploded."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node in ``edges`` (a, b): root is the smallest node of its connected component.
 

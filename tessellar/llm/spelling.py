@@ -8,6 +8,7 @@ a pair meets by one pair of letters only.  Anagrams share keys, so a key goes wi
 of the letters: one edit leaves one of them as it is.  Letter order is then verified.
 
 Everything after the count of words is a join or a grouping of the vocabulary; a group of equal keys is a join's, never one row's.
+No side of a join is broadcast: a vocabulary of a few MB of files has hundreds of MB of keys.
 
 Edge cases: a null text has no words; a null document id is written as nothing before the colon; repeated rows
 count again; ties of frequency go to the smallest word in code-point order; an empty table gives no words;
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unsized
 
 #: The letters that words have: first and last code point of each range.
 LETTERS = ((0x61, 0x7A), (0xC0, 0xFF))
@@ -73,7 +74,7 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
     half = F.floor(F.col("size") / 2).cast("int")
     start, end = F.substring(F.col("word"), F.lit(1), half), F.substring(F.col("word"), F.length("word") - half + 1, half)
     sided = met.withColumn("start", start).withColumn("at", F.explode(F.array(F.struct(F.lit(True).alias("first"), F.col("start").alias("part")), F.struct(F.lit(False).alias("first"), end.alias("part"))))).select("word", "n", "own", "key", "size", "start", "at.*")
-    a, b = sided.alias("a"), sided.alias("b")
+    a, b = sided.alias("a"), unsized(sided.alias("b"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "size", "first", "part")]
     # Words of one key are anagrams, never one edit apart; a pair that both halves bring together comes by the first.
     fresh = (F.col("a.own") != F.col("b.own")) & (F.col("a.first") | (F.col("a.start") != F.col("b.start")))
@@ -88,7 +89,7 @@ def roots(forms: DataFrame, rounds: int = 64) -> DataFrame:
     now = stored(forms.select("word", F.col("form").alias("root")), "roots")
     for _ in range(rounds):
         on = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = stored(now.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = stored(now.join(unsized(on), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         if new.where("moved").isEmpty():
             return now
         now = new.drop("moved")
@@ -106,5 +107,5 @@ def variants(vocab: DataFrame, times: int = 5) -> DataFrame:
     held = -F.col("m.n") >= F.lit(times) * F.col("n")
     near = stored(best.select("word", "n_near", F.when(held, F.col("m.word")).alias("form"), F.when(held, -F.col("m.n")).alias("form_n")), "near")
     ends = roots(near.where("form is not null"))
-    out = vocab.join(near, "word", "left").join(ends, "word", "left")
+    out = vocab.join(unsized(near), "word", "left").join(unsized(ends), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n")

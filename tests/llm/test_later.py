@@ -202,6 +202,19 @@ def test_variants_by_hand(spark):
     assert spelling.variants(df.where("false")).count() == 0
 
 
+def test_no_side_of_the_vocabulary_is_broadcast(spark, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    words = [(f"kettle{a}{b}", n) for a in "abc" for b, n in (("x", 5), ("y", 30), ("z", 200))]
+    plans, kept = [], spelling.stored
+    monkeypatch.setattr(spelling, "stored", lambda df, name: plans.append(plan(df)) or kept(df, name))
+    out = spelling.variants(spark.createDataFrame(words, "word string, n long"))
+    assert out.count() == len(words)
+    plans.append(plan(out))
+    # Near pairs, a round of roots or more, and the words with both.
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_occurrences(spark):
     texts = ["Kettle kettle KETTLE; ketTLÉ x kéttle's kettle2kettles", None, "", "word short", "aaaaaa" * 50_000, "×÷ÀÿÞß Āāāāāāā naïveté"]
     table = [(i, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "clash"), (None, texts[0], "clash")]
